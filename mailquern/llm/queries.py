@@ -10,6 +10,48 @@ from mailquern.tables import table
 R = Registry()
 
 
+# -- 1: text that looks the same --------------------------------------------------------------------------------------
+
+
+def _domain_values(spark: SparkSession, sf: str) -> DataFrame:
+    addr = table(spark, sf, "addresses").select(F.lit("addr_domain").alias("field_name"), F.col("addr_id").alias("id_b"), F.col("addr_domain").alias("value"))
+    ev = table(spark, sf, "notify_events").select(F.lit("link_domains").alias("field_name"), F.col("event_no").alias("id_b"), F.explode("link_domains").alias("value"))
+    return addr.unionByName(ev).where(F.col("value").isNotNull())
+
+
+@R.query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Domains that show a known domain's name, and pairs of bodies that look the same.
+
+    The known domains are a stated table of a few rows; Spark broadcasts it only
+    below its size threshold. Bodies meet by the hash of their canonical form's
+    shape; copies of one text count as one, so a group's texts are paired only
+    where they differ.
+    """
+    from .lookalike import canonical
+
+    known = table(spark, sf, "known_domains").where(F.col("domain_name").isNotNull())
+    names = canonical(known.withColumn("value", F.col("domain_name")), ["domain_id", "domain_name"], "value", whole_texts=False).select("domain_id", "domain_name", "shape")
+    values = _domain_values(spark, sf)
+    seen = canonical(values.withColumn("text", F.col("value")), ["field_name", "id_b", "value"], "text", whole_texts=False)
+    domains = seen.join(names, "shape").where(F.col("value") != F.col("domain_name")).select("field_name", F.col("domain_id").alias("id_a"), "id_b").distinct()
+
+    bodies = canonical(table(spark, sf, "prompt_data").withColumn("h", F.xxhash64("body", F.length("body"))), ["prompt_id", "h"], "body").select("prompt_id", "h", "shape").where(F.col("prompt_id").isNotNull()).distinct()
+    several = bodies.groupBy("shape").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where(F.col("lo") != F.col("hi")).select("shape")
+    those = bodies.join(several, "shape", "left_semi")
+    left, right = those.select("shape", F.col("prompt_id").alias("id_a"), F.col("h").alias("ha")), those.select("shape", F.col("prompt_id").alias("id_b"), F.col("h").alias("hb"))
+    pairs = left.join(right, "shape").where((F.col("id_a") < F.col("id_b")) & (F.col("ha") != F.col("hb"))).select(F.lit("body").alias("field_name"), "id_a", "id_b")
+    return domains.unionByName(pairs.distinct())
+
+
+@R.query("p1_canonical")
+def p1_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mail body in its one written form."""
+    from .lookalike import canonical
+
+    return canonical(table(spark, sf, "prompt_data"), ["prompt_id"], "body").select("prompt_id", F.col("canonical").alias("body"))
+
+
 # -- 2: items that appear together ------------------------------------------------------------------------------------
 
 _P2_SQL = """
