@@ -14,6 +14,7 @@ form are the same.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -35,7 +36,7 @@ SHAPES = {
 LETTERS = {"ɡ": "g", "ɑ": "a", "ı": "i"}
 HYPHENS = "‐‑⁃﹣－"
 #: Characters that show nothing besides the format characters.
-SILENT = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10))) + "᠋᠌᠍"
+SILENT = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" + "".join(map(chr, range(0xFE00, 0xFE10))) + "\u180b\u180c\u180d"
 
 _to_latin = {a: b for s, t in SHAPES.values() for a, b in zip(s, t)}
 _from_latin = {script: {b: a for a, b in reversed(list(zip(s, t)))} for script, (s, t) in SHAPES.items()}
@@ -62,24 +63,49 @@ def _styles() -> dict[int, str | None]:
     return out
 
 
+def _ranges(chars: list[int]) -> str:
+    """Sorted code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for o in chars:
+        if out and o == out[-1][1] + 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in out)
+
+
 @cache
-def _odd() -> regex.Pattern:
-    return regex.compile("[" + "".join(map(regex.escape, map(chr, _styles()))) + r"\p{M}]")
+def _odd() -> re.Pattern:
+    """Finds any character that the first step changes; the wide blocks stand whole."""
+    return re.compile(f"[{_ranges(sorted(_styles()))}]")
 
 
 def plain(text: str) -> str:
     """The first step: what shows nothing goes, styles become plain, marks are composed."""
-    if _odd().search(text) is None:
-        return unicodedata.normalize("NFC", text)
-    return unicodedata.normalize("NFC", text.translate(_styles()))
+    if text.isascii():
+        return text
+    if _odd().search(text) is not None:
+        text = text.translate(_styles())
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 _shape_table = {ord(a): b for a, b in (_to_latin | LETTERS).items()}
-_ASCII = regex.compile(r"[\x00-\x7f]*\Z")
+_MARK = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
+
+
+@cache
+def _whole_shapes() -> dict[int, str]:
+    """The shape table with composed letters, each as its marks and the shape of its letter."""
+    out = {o: unicodedata.normalize("NFD", chr(o)).translate(_shape_table) for a, b in ((0xC0, 0x590), (0x1E00, 0x2000)) for o in range(a, b)}
+    return {o: t for o, t in (out | _shape_table).items() if t != chr(o)}
 
 
 def shape(text: str) -> str:
-    """The second step's comparison form of plain text: letters of one shape become one letter."""
+    """The second step's comparison form of plain text: letters of one shape become one letter, marks stand apart."""
+    if text.isascii():
+        return text
+    if _MARK.search(text) is None:
+        return text.translate(_whole_shapes())
     return unicodedata.normalize("NFD", text).translate(_shape_table)
 
 
@@ -88,7 +114,10 @@ def shape_key(text: str) -> str:
 
 
 _SCRIPTS = {s: regex.compile(rf"\p{{{s}}}") for s in ("Latin", *SHAPES)}
-_MIXED = regex.compile(r"\p{L}*(?:[\p{Latin}][\p{Cyrillic}\p{Greek}\p{Armenian}]|[\p{Cyrillic}\p{Greek}\p{Armenian}][\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}])[\p{L}\p{M}]*")
+_L, _O = "A-Za-z\u00c0-\u024f", "\u0370-\u03ff\u0531-\u0587\u0400-\u052f"
+#: Where letters of two scripts stand side by side: Latin beside another, or Cyrillic, Greek and Armenian beside each other.
+_MEET = re.compile(f"[{_L}][{_O}]|[{_O}][{_L}]|[\u0370-\u03ff][\u0400-\u0587]|[\u0400-\u0587][\u0370-\u03ff]|[\u0400-\u052f][\u0531-\u0587]|[\u0531-\u0587][\u0400-\u052f]")
+_TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def _script(c: str) -> str | None:
@@ -126,7 +155,10 @@ def repairs(text: str) -> list[tuple[str, str]]:
     """The mixed-script tokens of plain text and their repaired forms, each once."""
     if text.isascii():
         return []
-    return [(t, r) for t in dict.fromkeys(_MIXED.findall(text)) if (r := repair(t)) is not None]
+    if _MEET.search(text) is None:
+        return []
+    found = dict.fromkeys(t for t in _TOKEN.findall(text) if _MEET.search(t))
+    return [(t, r) for t in found if (r := repair(t)) is not None]
 
 
 def digest(s: str) -> bytes:

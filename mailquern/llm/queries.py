@@ -137,3 +137,29 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from .bpe import encode_texts
 
     return encode_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+# -- 9: evaluation passages in the corpus -----------------------------------------------------------------------------
+
+
+@R.query("p9_found")
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .leakage import leaked_items
+
+    return leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage")
+
+
+# -- 10: oversized texts in pieces ------------------------------------------------------------------------------------
+
+
+@R.query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that the operator cuts."""
+    return p10_pieces(spark, sf).where("piece_no = 1").select("doc_id").distinct()
+
+
+@R.query("p10_pieces")
+def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    from .pieces import split_texts
+
+    return split_texts(table(spark, sf, "documents"), "doc_id", "text")
