@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailquern.registry import Registry
-from mailquern.tables import table
+from mailquern.tables import one_row_per_key, table
 
 R = Registry()
 
@@ -163,3 +163,26 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     from .pieces import split_texts
 
     return split_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+# -- 6: text read in a wrong encoding ---------------------------------------------------------------------------------
+
+
+def _subjects_and_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    subjects = one_row_per_key(table(spark, sf, "message_summaries").select("summary_id", "subject"), "summary_id")
+    bodies = one_row_per_key(table(spark, sf, "prompt_data").select("prompt_id", "body"), "prompt_id")
+    return subjects.select(F.lit("subject").alias("field_name"), F.col("summary_id").alias("record_id"), F.col("subject").alias("text")).unionByName(
+        bodies.select(F.lit("body").alias("field_name"), F.col("prompt_id").alias("record_id"), F.col("body").alias("text"))
+    )
+
+
+@R.query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_restored(spark, sf).select("field_name", "record_id")
+
+
+@R.query("p6_restored")
+def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
+    from .garbled import find_garbled
+
+    return find_garbled(_subjects_and_bodies(spark, sf), ["field_name", "record_id"], "text").select("field_name", "record_id", "restored", "undone")
