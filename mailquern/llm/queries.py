@@ -186,3 +186,24 @@ def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
     from .garbled import find_garbled
 
     return find_garbled(_subjects_and_bodies(spark, sf), ["field_name", "record_id"], "text").select("field_name", "record_id", "restored", "undone")
+
+
+# -- 5: what an e-mail's sender wrote anew ----------------------------------------------------------------------------
+
+
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return one_row_per_key(table(spark, sf, "prompt_data").select("prompt_id", "body"), "prompt_id")
+
+
+@R.query("p5_found")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .authored import found_pieces
+
+    return found_pieces(_bodies(spark, sf), "prompt_id", "body")
+
+
+@R.query("p5_new_text")
+def p5_new_text(spark: SparkSession, sf: str) -> DataFrame:
+    from .authored import classified
+
+    return classified(_bodies(spark, sf), "prompt_id", "body").select("prompt_id", "new_text")
