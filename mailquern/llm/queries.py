@@ -207,3 +207,31 @@ def p5_new_text(spark: SparkSession, sf: str) -> DataFrame:
     from .authored import classified
 
     return classified(_bodies(spark, sf), "prompt_id", "body").select("prompt_id", "new_text")
+
+
+# -- 7: personal details ----------------------------------------------------------------------------------------------
+
+
+def _personal_texts(spark: SparkSession, sf: str) -> DataFrame:
+    p = one_row_per_key(table(spark, sf, "prompt_data").select("prompt_id", "body", "mail_from"), "prompt_id")
+    fields = F.explode(F.array(F.struct(F.lit("body").alias("field_name"), F.col("body").alias("text")), F.struct(F.lit("mail_from").alias("field_name"), F.col("mail_from").alias("text")))).alias("f")
+    subjects = one_row_per_key(table(spark, sf, "message_summaries").select("summary_id", "subject"), "summary_id")
+    return p.select(F.col("prompt_id").alias("record_id"), fields).select("f.field_name", "record_id", "f.text").unionByName(subjects.select(F.lit("subject").alias("field_name"), F.col("summary_id").alias("record_id"), F.col("subject").alias("text")))
+
+
+@R.query("p7_found")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .pii import disclosing_terms, found_details, known_terms
+
+    texts = _personal_texts(spark, sf)
+    terms = disclosing_terms(texts, "text", known_terms(table(spark, sf, "staff"), "first_name", "last_name"))
+    return found_details(texts, ["field_name", "record_id"], "text", terms)
+
+
+@R.query("p7_redacted")
+def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    from .pii import disclosing_terms, known_terms, redacted
+
+    texts = _personal_texts(spark, sf)
+    terms = disclosing_terms(texts, "text", known_terms(table(spark, sf, "staff"), "first_name", "last_name"))
+    return redacted(texts, ["field_name", "record_id"], "text", terms)
