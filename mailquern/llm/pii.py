@@ -139,6 +139,10 @@ PLACES = tuple(
 )
 
 
+#: What a line must hold to hold such a place.
+_MARKS = ('" <', '"<', " (", "wrote", "пишет", "написал", "жазды", "From:", "От:", "Кімнен:", "Жіберуші:", "Dear ", "Здравствуйте,", "Уважаем", "Құрметті ")
+
+
 def _titled(t: str) -> bool:
     return len(t) > 1 and t[0].isupper() and t[1:].islower()
 
@@ -150,10 +154,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             clean, _ = aligned(t)
             raw.update(m for m in _TERM.findall(clean) if m[0].isupper())
-            for p in PLACES:
-                for m in p.finditer(clean):
-                    if all(map(_titled, m.groups())):
-                        held.update(map(term_key, m.groups()))
+            for line in clean.split("\n"):
+                if any(x in line for x in _MARKS):
+                    for p in PLACES:
+                        if (m := p.search(line)) and all(map(_titled, m.groups())):
+                            held.update(map(term_key, m.groups()))
         for t, n in raw.items():
             seen[term_key(t)] += n
     if seen:
@@ -212,15 +217,19 @@ def located(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return src.mapInArrow(_spans(keys), f"{fields}, spans {SPAN}")
 
 
-def confirmed(spans: DataFrame, terms: DataFrame, *keep: Column | str) -> DataFrame:
-    """The details by form, and the candidates whose terms all disclose. Terms meet by joins, so their number has no bound."""
+def confirmed(spans: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
+    """The details by form, and the candidates whose terms all disclose.
+
+    Terms meet by joins, so their number has no bound, and the texts are read
+    once. Details without a term get a key of their own that matches nothing,
+    so that they spread over the tasks.
+    """
     one = spans.select(*keep, F.explode("spans").alias("s"))
-    form = one.where("s.kind <> 'person_name'")
-    names = one.where("s.kind = 'person_name'")
-    t = terms.select(F.col("term"))
-    second = names.join(t, F.col("s.y") == F.col("term"), "left_semi")
-    both = second.where("s.x IS NOT NULL").join(t, F.col("s.x") == F.col("term"), "left_semi")
-    return form.unionByName(both).unionByName(second.where("s.x IS NULL"))
+    own = F.concat(F.lit("\x01"), F.xxhash64(*keep).cast("string"))
+    first, second = terms.select(F.col("term").alias("__x"), F.lit(True).alias("__dx")), terms.select(F.col("term").alias("__y"), F.lit(True).alias("__dy"))
+    met = one.withColumns({"__kx": F.coalesce("s.x", own), "__ky": F.coalesce("s.y", own)}).join(second, F.col("__ky") == F.col("__y"), "left")
+    met = met.where((F.col("s.kind") != "person_name") | F.col("__dy")).join(first, F.col("__kx") == F.col("__x"), "left")
+    return met.where((F.col("s.kind") != "person_name") | F.col("s.x").isNull() | F.col("__dx")).select(*keep, "s")
 
 
 def found_details(df: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
