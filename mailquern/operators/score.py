@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailquern import refdata
-from mailquern.functions.text import round_half_up, strings
+from mailquern.functions.text import round_half_up
 
 ADVICE = {
     "clean": "No action is needed.", "suspicious": "Treat the message with care.", "needs_review": "Wait for an analyst's decision.", "phishing": "Do not act on the message.",
@@ -26,6 +26,16 @@ def reweighted(signals: Column, weights: dict[str, float] | None) -> Column:
     return F.transform(signals, lambda s: s.withField("weight", F.coalesce(F.try_element_at(own, s["id"]), s["weight"])))
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with columns that the optimizer takes as they are.
+
+    It copies the expression of a column into filters and projections above it.
+    With columns built on each other over several steps the copies multiply;
+    a condition that counts as random, and always holds, ends that.
+    """
+    return df.withColumns({c: F.when(F.rand(0) >= 0, F.col(c)) for c in columns})
+
+
 def _has(prefix: str) -> Column:
     return F.exists("signals", lambda s: s["id"].startswith(prefix) & (s["weight"] > 0))
 
@@ -42,6 +52,7 @@ def score_messages(df: DataFrame, weights: dict[str, float] | None = None, phish
     """
     llm = F.col("llm.verdict_opinion") if "llm" in df.columns else F.lit(None).cast("string")
     d = df.withColumn("signals", F.coalesce(reweighted(F.col("signals"), weights), F.array().cast("array<struct<id:string,category:string,weight:double,confidence:double,evidence:string,source:string>>")))
+    d = settled(d, "signals")
     total = F.aggregate("signals", F.lit(0.0), lambda a, s: a + contribution(s))
     d = d.withColumn("__raw", F.greatest(F.lit(0), F.least(F.lit(100), round_half_up(total))).cast("int"))
     d = d.withColumns({
@@ -55,6 +66,7 @@ def score_messages(df: DataFrame, weights: dict[str, float] | None = None, phish
     d = d.withColumn("__ruled", F.when(F.col("__block"), "phishing").when(raised, "suspicious").otherwise(F.col("__by_score")))
     unsure = (F.col("__strong") & (llm == "clean") & (F.col("__ruled") != "clean")) | (F.col("__allow") & (F.col("score") >= phishing))
     d = d.withColumn("verdict", F.when(~F.col("__block") & F.coalesce(unsure, F.lit(False)), "needs_review").otherwise(F.col("__ruled")))
+    d = settled(d, "score", "verdict")
     positives = F.size(F.filter("signals", lambda s: (s["weight"] > 0) & (s["category"] != "semantic")))
     near = F.least(F.abs(F.col("score") - phishing), F.abs(F.col("score") - suspicious))
     agrees = F.when(llm == "phishing", F.col("score") >= phishing).when(llm == "clean", F.col("score") < suspicious).when(llm == "suspicious", (F.col("score") >= suspicious) & (F.col("score") < phishing)).otherwise(False)
@@ -99,6 +111,3 @@ def signals_from_ids(ids: Column, confidence: Column, weights: dict[str, float]
 
 def merged_weights(base: dict[str, float], org: dict[str, float] | None) -> dict[str, float]:
     return base | (org or {})
-
-
-__all__ = ["score_messages", "signals_from_ids", "ranked", "reweighted", "merged_weights", "strings"]

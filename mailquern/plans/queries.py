@@ -480,7 +480,7 @@ def redact_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", O.redaction_counts(F.col("text"))["emails"].cast("long").alias("emails"))
 
 
-@R.query("opinions_valid", "SELECT count(*) AS n, count(*) FILTER (verdict IN ('phishing', 'suspicious', 'clean')) AS valid FROM (SELECT * FROM awareness_cards QUALIFY row_number() OVER (PARTITION BY card_id) = 1)")
+@R.query("opinions_valid", "SELECT count(*) AS n, count(*) FILTER (verdict IN ('phishing', 'suspicious', 'clean') AND coalesce(attack_type, 'none') IN ('credential_harvesting', 'malware', 'invoice_fraud', 'bec', 'spam', 'none')) AS valid FROM (SELECT * FROM awareness_cards QUALIFY row_number() OVER (PARTITION BY card_id) = 1)")
 def opinions_valid(spark: SparkSession, sf: str) -> DataFrame:
     """Cards written as answers of a model, with words around the object, and read back."""
     c = table(spark, sf, "awareness_cards").dropDuplicates(["card_id"])
@@ -513,7 +513,8 @@ def verdict_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("notify_payloads")
 def notify_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    return X.payloads(X.events(S.score_messages(detected(spark, sf))), "case")
+    d = _scored(spark, sf).select("msg_id", "org_id", "verdict", "score", "attack_type", F.transform("signals", lambda s: s["id"]).alias("signals"))
+    return X.payloads(d.where(X.verdict_rank(F.col("verdict")) >= 1), "case")
 
 
 @R.query("metric_histogram", "WITH e AS (SELECT * FROM notify_events QUALIFY row_number() OVER (PARTITION BY event_no) = 1), b(le) AS (VALUES (0.05), (0.1), (0.25), (0.5), (1.0), (2.5), (5.0), (10.0)) SELECT channel, CAST(le AS DOUBLE) AS le, count(*) FILTER (confidence <= le) AS n FROM e, b GROUP BY 1, 2")

@@ -26,19 +26,24 @@ def deduplicated(events: DataFrame, keys: list[str], time: str, delay: str = "1
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def tumbling_counts(events: DataFrame, time: str, by: str, width: str = "1 day", delay: str = "3 days") -> DataFrame:
+def _late(events: DataFrame, time: str, delay: str | None) -> DataFrame:
+    """``events`` with a watermark; ``delay`` is None where they have one already."""
+    return events.withWatermark(time, delay) if delay else events
+
+
+def tumbling_counts(events: DataFrame, time: str, by: str, width: str = "1 day", delay: str | None = "3 days") -> DataFrame:
     """(start, by, n) of windows that close once the watermark has passed them."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+    return _late(events, time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-def bursts(events: DataFrame, time: str, by: str, width: str = "10 minutes", slide: str = "5 minutes", least: int = 20, delay: str = "1 hour") -> DataFrame:
+def bursts(events: DataFrame, time: str, by: str, width: str = "10 minutes", slide: str = "5 minutes", least: int = 20, delay: str | None = "1 hour") -> DataFrame:
     """(start, by, n) of sliding windows in which a value occurs at least ``least`` times."""
-    return events.withWatermark(time, delay).groupBy(F.window(time, width, slide).alias("w"), by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("w.start").alias("start"), by, "n")
+    return _late(events, time, delay).groupBy(F.window(time, width, slide).alias("w"), by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("w.start").alias("start"), by, "n")
 
 
-def campaign_sessions(events: DataFrame, time: str, key: str, gap: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+def campaign_sessions(events: DataFrame, time: str, key: str, gap: str = "1 hour", delay: str | None = "1 hour") -> DataFrame:
     """(start, end, key, n): runs of a campaign's messages with no gap above ``gap``."""
-    return events.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+    return _late(events, time, delay).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
 def current_status(events: DataFrame, key: str, status: str, time: str) -> DataFrame:
