@@ -113,7 +113,7 @@ def reverse_ip(ip: Column) -> Column:
 
 
 def is_shortener(host: Column) -> Column:
-    return F.coalesce(host.isin(refdata.SHORTENERS) | registrable_domain(host).isin(refdata.SHORTENERS), F.lit(False))
+    return F.coalesce(F.array_contains(strings(refdata.SHORTENERS), host) | F.array_contains(strings(refdata.SHORTENERS), registrable_domain(host)), F.lit(False))
 
 
 def punycode(host: Column) -> Column:

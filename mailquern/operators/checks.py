@@ -211,7 +211,7 @@ def free_mail_org() -> Column:
 
 @check("domain.risky_tld")
 def risky_tld() -> Column:
-    risk = F.create_map(*(F.lit(x) for kv in refdata.RISKY_TLDS.items() for x in kv))
+    risk = T.lookup_map(refdata.RISKY_TLDS)
     hosts = H.distinct_hosts(F.array(sender()), link_hosts())
     return each(first_by(hosts, H.tld), lambda h: F.try_element_at(risk, H.tld(h)).isNotNull(), lambda h: F.least(F.lit(1.0), F.try_element_at(risk, H.tld(h)) / 10.0), lambda h: h)
 

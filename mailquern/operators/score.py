@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailquern import refdata
-from mailquern.functions.text import round_half_up
+from mailquern.functions.text import lookup_map, round_half_up
 
 ADVICE = {
     "clean": "No action is needed.", "suspicious": "Treat the message with care.", "needs_review": "Wait for an analyst's decision.", "phishing": "Do not act on the message.",
@@ -22,7 +22,7 @@ def reweighted(signals: Column, weights: dict[str, float] | None) -> Column:
     """Signals with the weights of an organisation in place of the registered ones."""
     if not weights:
         return signals
-    own = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, float(v))))
+    own = lookup_map(weights)
     return F.transform(signals, lambda s: s.withField("weight", F.coalesce(F.try_element_at(own, s["id"]), s["weight"])))
 
 
@@ -102,7 +102,7 @@ def ranked(signals: Column) -> Column:
 def signals_from_ids(ids: Column, confidence: Column, weights: dict[str, float] | None = None) -> Column:
     """Signals in emission order from an array of ids; unknown ids weigh nothing, null and repeated ones are left out."""
     own = refdata.WEIGHTS | (weights or {})
-    w = F.create_map(*(F.lit(x) for k, v in own.items() for x in (k, float(v))))
+    w = lookup_map(own)
     stage = lambda i: F.when(i.startswith("reputation."), 1).when(i.startswith("semantic."), 2).otherwise(0)
     order = F.array_sort(F.transform(F.array_distinct(F.filter(ids, lambda i: i.isNotNull())), lambda i: F.struct(stage(i).alias("n"), i.alias("id"))))
     source = lambda i: F.when(i.isin("reputation.domain_listed", "header.received_ip_listed"), "ti").when(i.startswith("semantic."), "llm").otherwise("heuristic")
