@@ -19,6 +19,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mailquern.session import checkpointed
+
 from .authored import WROTE
 from .lookalike import _odd, _styles, shape
 
@@ -174,9 +176,9 @@ def disclosing_terms(texts: DataFrame, text: str, known: DataFrame | None = None
     of the term's share of such places over all terms' share. A term needs
     ``min_held`` places and ``min_bits``. Terms of ``known`` (a column ``term``)
     are the protected entities' own and always disclose. Counts cover all rows
-    and are summed in each task first.
+    and are summed in each task first; the sums, a row a term, are written once.
     """
-    c = texts.where(F.col(text).isNotNull()).select(text).mapInArrow(_count, "term string, held long, seen long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen"))
+    c = checkpointed(texts.where(F.col(text).isNotNull()).select(text).mapInArrow(_count, "term string, held long, seen long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen")))
     overall = c.agg((F.sum("held") / F.sum("seen")).alias("overall"))
     bits = F.log2(F.col("held") / F.col("seen") / F.col("overall"))
     learned = c.join(F.broadcast(overall)).withColumn("bits", bits).where((F.col("held") >= min_held) & (F.col("bits") >= min_bits)).select("term", "held", "seen", "bits")
