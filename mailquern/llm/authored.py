@@ -2,10 +2,10 @@
 
 Bodies are cut into blocks. Marked history (quote signs, header blocks,
 introductions) and closing lines are told by their form. What a sender or a
-company always sends along has no form of its own: its sentences are
-fingerprinted by SimHash, near-matches among the standing paragraphs of other
-mails are retrieved through tables of the fingerprint's parts, and a match is
-verified by edit distance.
+company always sends along has no form of its own: the sentences of all own
+text are fingerprinted by SimHash, near-matches of standing sentences are
+retrieved through tables of the fingerprint's parts, and a match is verified by
+edit distance. Matched sentences are taken out, whatever stands beside them.
 """
 
 import re
@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType, StringType
 
 from mailquern.session import checkpointed
 
@@ -57,6 +57,15 @@ def split_body(text: str) -> dict[str, list[str]]:
     quoted with the introduction before them; after a header block, a forwarding
     line or an introduction without quote signs all that follows is.
     """
+    own, signed, earlier = _cut(text)
+    out: dict[str, list[str]] = {"new": [], "quoted": earlier, "signature": []}
+    for x, s in zip(own, signed):
+        out["signature" if s else "new"].append(x)
+    return out
+
+
+def _cut(text: str) -> tuple[list[str], list[bool], list[str]]:
+    """A body's own lines, which of them sign it, and its quoted lines."""
     lines = plain(text).replace("\r\n", "\n").replace("\r", "\n").split("\n")
     n = len(lines)
     quoted = [bool(_QUOTED.match(x)) for x in lines]
@@ -77,12 +86,8 @@ def split_body(text: str) -> dict[str, list[str]]:
         elif _FIELD.match(x) and sum(bool(_FIELD.match(y)) for y in lines[i : i + 5]) >= 2:
             first = i - 1 if i and _RULE.match(lines[i - 1]) else i
             quoted[first:] = [True] * (n - first)
-    out: dict[str, list[str]] = {"new": [], "quoted": [x for x, q in zip(lines, quoted) if q], "signature": []}
     own = [x for x, q in zip(lines, quoted) if not q]
-    signed = _signature(own)
-    for i, x in enumerate(own):
-        out["signature" if signed[i] else "new"].append(x)
-    return out
+    return own, _signature(own), [x for x, q in zip(lines, quoted) if q]
 
 
 def _opens(line: str) -> bool:
@@ -153,41 +158,92 @@ NEAR_BITS, PARTS = 7, 8
 NEAR_SHARE = 0.1
 
 
+_END = re.compile(r"[.!?\u2026\u3002]+[\"'\u201d\u2019\u00bb)\]*]*\s+")
+
+
+def sentences(lines: list[str]) -> tuple[str, list[tuple[int, int]]]:
+    """A paragraph on one line, and the places of its sentences.
+
+    Whether a line break ends a sentence or folds it can't be told, so the
+    sentences come both ways where the two differ.
+    """
+    parts = [y for x in lines if (y := " ".join(x.split()))]
+    text = " ".join(parts)
+    ends = [m.end() for m in _END.finditer(text)]
+    breaks = [sum(map(len, parts[:k])) + k for k in range(1, len(parts))]
+    spans: dict[tuple[int, int], None] = {}
+    for cuts in (ends, sorted({*ends, *breaks})) if breaks else (ends,):
+        edges = [0, *(c for c in cuts if c < len(text)), len(text)]
+        spans.update(dict.fromkeys(zip(edges, edges[1:])))
+    return text, list(spans)
+
+
+def _paragraphs(own: list[str], signed: list[bool]) -> list[tuple[list[str], bool]]:
+    """(lines, whether a signature stands before) of each paragraph; blank and signing lines part them."""
+    out: list[tuple[list[str], bool]] = []
+    now: list[str] = []
+    after = False
+    for x, s in zip([*own, ""], [*signed, False]):
+        if s or not x.strip():
+            if now:
+                out.append((now, after))
+                now = []
+            after |= s and bool(x.strip())
+        else:
+            now.append(x)
+    return out
+
+
+_MARK = [("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("folded", pa.string()), ("worded", pa.bool_())]
+
+
 def _blocks(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, int, bool]] = {}
+        memo: dict[str, tuple[str, bool]] = {}
         for b in batches:
-            keys, quoted, signed, news, seeds = [], [], [], [], []
+            keys, quoted, signed, news, marks = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                cut = split_body(t)
-                paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", "\n".join(cut["new"])) if p.strip()]
-                rows = []
-                for no, p in enumerate(paragraphs):
-                    for line in dict.fromkeys([p] if len(p) < 400 else []):
+                own, signs, earlier = _cut(t)
+                paragraphs, rows = [], []
+                cut = _paragraphs(own, signs)
+                for no, (lines, after) in enumerate(cut):
+                    text, spans = sentences(lines)
+                    paragraphs.append(text)
+                    apart = after or no == len(cut) - 1
+                    beside = apart and (after or no > 0) and bool(_NOTICE.search(text))
+                    for start, end in spans:
+                        line = text[start:end]
                         got = memo.get(line)
                         if got is None:
-                            f = folded(line)
-                            got = (f, simhash(f) if f else 0, bool(_NOTICE.search(line)))
                             if len(memo) > 20_000:
                                 memo.clear()
-                            memo[line] = got
+                            got = memo[line] = (folded(line), bool(_NOTICE.search(line)))
                         if got[0]:
-                            rows.append({"no": no, "folded": got[0], "hash": got[1] - (1 << 63), "seed": got[2]})
+                            rows.append({"no": no, "start": start, "end": end, "folded": got[0], "worded": beside or apart and got[1]})
                 keys.append(i)
-                quoted.append(bool(cut["quoted"]))
-                signed.append(any(x.strip() for x in cut["signature"]))
+                quoted.append(bool(earlier))
+                signed.append(any(s and x.strip() for x, s in zip(own, signs)))
                 news.append(paragraphs)
-                seeds.append(rows)
-            kind = pa.list_(pa.struct([("no", pa.int32()), ("folded", pa.string()), ("hash", pa.int64()), ("seed", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(quoted, pa.bool_()), pa.array(signed, pa.bool_()), pa.array(news, pa.list_(pa.string())), pa.array(seeds, kind)], [key, "quoted", "signature", "paragraphs", "marks"])
+                marks.append(rows)
+            kind = pa.list_(pa.struct(_MARK))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(quoted, pa.bool_()), pa.array(signed, pa.bool_()), pa.array(news, pa.list_(pa.string())), pa.array(marks, kind)], [key, "quoted", "signature", "paragraphs", "marks"])
 
     return run
 
 
 def body_blocks(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, quoted, signature, paragraphs, marks): each non-null body cut by form, its own paragraphs fingerprinted."""
+    """(key, quoted, signature, paragraphs, marks): each non-null body cut by form, the sentences of its own paragraphs folded."""
     src = df.where(F.col(body).isNotNull()).select(key, body)
-    return src.mapInArrow(_blocks(key), f"`{key}` {src.schema[0].dataType.simpleString()}, quoted boolean, signature boolean, paragraphs array<string>, marks array<struct<no:int,folded:string,hash:bigint,seed:boolean>>")
+    return src.mapInArrow(_blocks(key), f"`{key}` {src.schema[0].dataType.simpleString()}, quoted boolean, signature boolean, paragraphs array<string>, marks array<struct<no:int,start:int,end:int,folded:string,worded:boolean>>")
+
+
+@F.pandas_udf(LongType())
+def _simhash(a: pd.Series) -> pd.Series:
+    return a.map(lambda x: simhash(x) - (1 << 63)).astype("int64")
+
+
+#: Else the planner computes it again for each use, and before the sentences are made distinct.
+_simhash = _simhash.asNondeterministic()
 
 
 @F.pandas_udf(BooleanType())
@@ -196,32 +252,63 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def standing_notices(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFrame:
-    """Distinct folded paragraphs that are standing notices of law or company.
-
-    Seeds have a notice's wording and stand alone as a paragraph, the same word
-    for word, in at least ``min_mails`` mails. Any paragraph near one of them is
-    a notice, too: their fingerprints share one of eight parts and differ in at
-    most seven bits, and their edit distance is at most a tenth of their length.
-    Distinct texts are compared, so a notice in a third of all mails is one row.
+    """Distinct folded sentences that belong to standing notices of law or company.
+
+    Seeds stand, the same word for word, in at least ``min_mails`` mails, and in
+    four of five of them at the end of the own text or after the signature with
+    a notice's wording in the sentence or in its paragraph. Any sentence near
+    one of them is a notice, too: their fingerprints share one of eight parts
+    and differ in at most seven bits, and their edit distance is at most a tenth
+    of their length. Distinct texts are compared, so a notice in a third of all
+    mails is one row.
     """
-    p = blocks.select(key, F.explode("marks").alias("m")).select(key, "m.folded", "m.hash", "m.seed")
-    distinct = p.groupBy("folded", "hash").agg(F.count("*").alias("mails"), F.bool_or("seed").alias("seed"))
+    p = blocks.select(key, F.explode("marks").alias("m")).groupBy(F.col("m.folded").alias("folded"), key).agg(F.bool_or("m.worded").alias("worded"))
+    distinct = p.groupBy("folded").agg(F.count("*").alias("mails"), F.count_if("worded").alias("worded"))
+    distinct = distinct.select("folded", ((F.col("worded") >= min_mails) & (F.col("worded") >= 0.8 * F.col("mails"))).alias("seed"))
+    return _near_seeds(distinct)
+
+
+def _near_seeds(distinct: DataFrame) -> DataFrame:
+    """(folded): the seeds of distinct (folded, seed) and what is near one."""
     parts = F.posexplode(F.array(*(F.expr(f"shiftrightunsigned(hash, {64 // PARTS * i}) & {(1 << 64 // PARTS) - 1}") for i in range(PARTS)))).alias("part", "bits")
-    seeds = distinct.where("seed").where(F.col("mails") >= min_mails)
-    left = seeds.select(F.col("folded").alias("seed_text"), F.col("hash").alias("seed_hash"), parts)
-    right = distinct.select("folded", "hash", parts)
+    seeds = distinct.where("seed").select("folded")
+    left = seeds.withColumn("hash", _simhash("folded")).select(F.col("folded").alias("seed_text"), F.col("hash").alias("seed_hash"), parts)
+    right = distinct.select("folded", _simhash("folded").alias("hash")).select("folded", "hash", parts)
     close = right.join(left, ["part", "bits"]).where(F.bit_count(F.col("hash").bitwiseXOR(F.col("seed_hash"))) <= NEAR_BITS)
     pairs = close.select("folded", "seed_text").distinct()
-    return pairs.where(_near("folded", "seed_text")).select("folded").unionByName(seeds.select("folded")).distinct()
+    return pairs.where(_near("folded", "seed_text")).select("folded").unionByName(seeds).distinct()
+
+
+@F.pandas_udf(StringType())
+def _without(paragraphs: pd.Series, spans: pd.Series) -> pd.Series:
+    """Paragraphs without the (number, start, end) places; those with no word left are dropped."""
+    out = []
+    for ps, cut in zip(paragraphs, spans):
+        gone: dict[int, list[tuple[int, int]]] = {}
+        for no, start, end in cut if cut is not None else ():
+            gone.setdefault(int(no), []).append((int(start), int(end)))
+        left = []
+        for no, p in enumerate(ps):
+            if no in gone:
+                at, keep = 0, []
+                for start, end in sorted(gone[no]):
+                    keep.append(p[at : max(at, start)])
+                    at = max(at, end)
+                p = " ".join("".join([*keep, p[at:]]).split())
+                if not re.search(r"\w", p):
+                    continue
+            left.append(p)
+        out.append("\n\n".join(left))
+    return pd.Series(out, dtype=object)
 
 
 def classified(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, quoted, signature, disclaimer, new_text): each non-null body's kinds of pieces, and what is left as newly written."""
-    blocks = body_blocks(df, key, body)
-    notices = standing_notices(blocks, key)
-    hits = blocks.select(key, F.explode("marks").alias("m")).select(key, F.col("m.no").alias("no"), F.col("m.folded").alias("folded")).join(notices, "folded", "left_semi").groupBy(key).agg(F.collect_set("no").alias("nos"))
-    left = F.filter("paragraphs", lambda x, i: ~F.coalesce(F.array_contains("nos", i), F.lit(False)))
-    return blocks.join(hits, key, "left").select(key, "quoted", "signature", F.col("nos").isNotNull().alias("disclaimer"), F.array_join(left, "\n\n").alias("new_text"))
+    blocks = checkpointed(body_blocks(df, key, body))
+    notices = standing_notices(blocks.select(key, "signature", "marks"), key)
+    marks = blocks.select(key, F.explode("marks").alias("m")).select(key, F.array("m.no", "m.start", "m.end").alias("span"), F.col("m.folded").alias("folded"))
+    hits = marks.join(notices, "folded", "left_semi").groupBy(key).agg(F.collect_set("span").alias("spans"))
+    return blocks.join(hits, key, "left").select(key, "quoted", "signature", F.col("spans").isNotNull().alias("disclaimer"), _without("paragraphs", "spans").alias("new_text"))
 
 
 def found_pieces(df: DataFrame, key: str, body: str) -> DataFrame:

@@ -110,6 +110,15 @@ def test_standing_notices(spark):
     assert authored.found_pieces(df.limit(0), "id", "body").count() == 0
 
 
+def test_notices_of_any_length_and_place(spark):
+    long = NOTICE + " " + "Opinions in it are those of its author, who may not speak for the company in any matter of contract, price or law. " * 4
+    d = [(i, f"Text {i}.\n\n{long}") for i in range(5)] + [(7, f"First line\n{NOTICE}"), (8, f"We met at noon. {long} Bye now."), (9, "Long text of its own. " * 40)]
+    df = spark.createDataFrame(d, "id long, body string")
+    assert rows(authored.found_pieces(df, "id", "body")) == [(i, "disclaimer") for i in (*range(5), 7, 8)]
+    new = dict(rows(authored.classified(df, "id", "body").select("id", "new_text")))
+    assert [new[i] for i in (0, 7, 8)] == ["Text 0.", "First line", "We met at noon. Bye now."] and len(new[9]) > 800
+
+
 @given(st.text("abc ", max_size=12), st.text("abc ", max_size=12), st.integers(0, 4))
 @settings(max_examples=150, deadline=None)
 def test_banded_distance(a, b, k):
