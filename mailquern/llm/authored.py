@@ -29,7 +29,7 @@ FORWARDED = r"(?:Original Message|Forwarded message|Begin forwarded message|Ис
 #: Closing phrases and device lines.
 SIGN_OFF = r"(?:(?:kind|best|warm|many)(?:est)? regards|regards|best wishes|best|yours (?:sincerely|faithfully|truly)|sincerely(?: yours)?|thanks(?: and regards)?|cheers|с уважением|с наилучшими пожеланиями|всего доброго|всего хорошего|искренне ваш(?:а)?|ізгі тілекпен|ізгі ниетпен|құрметпен|сәлеммен)"
 DEVICE = r"(?:sent from my [\w ]+|sent from (?:outlook|mail) for [\w ]+|get outlook for [\w ]+|отправлено с (?:моего )?[\w ]+|отправлено из [\w ]+|менің [\w ]+ жіберілді|[\w ]*телефонымнан жіберілді)"
-#: What marks a standing notice of law or company; two marks, or one strong one, make a seed.
+#: Wording of standing notices. One such phrase lowers the evidence that a seed needs, and ends a signature; without any, place and recurrence tell.
 NOTICE = (
     r"confidential(?:ity notice:| and meant| and intended)|named recipient|meant only for|intended only|if it reached you by mistake|may be privileged|use of it is unlawful|accepts no liability|before printing|do not bind the company|may be recorded",
     r"конфиденциальны и предназначены|уведомление о конфиденциальности:|указанному получателю|только адресату|если вы получили его по ошибке|третьим лицам без|запрещен[оаы]? законом|не несёт ответственности|не является офертой|мнение автора",
@@ -194,22 +194,31 @@ def _paragraphs(own: list[str], signed: list[bool]) -> list[tuple[list[str], boo
     return out
 
 
-_MARK = [("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("folded", pa.string()), ("worded", pa.bool_())]
+_MARK = [("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("folded", pa.string()), ("exact", pa.int64()), ("context", pa.int64()), ("first", pa.bool_()), ("worded", pa.bool_()), ("own", pa.bool_()), ("after", pa.bool_()), ("last", pa.bool_())]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def _blocks(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, bool]] = {}
+        memo: dict[str, tuple[str, bool, int]] = {}
         for b in batches:
             keys, quoted, signed, news, marks = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 own, signs, earlier = _cut(t)
                 paragraphs, rows = [], []
+                firsts: dict[int, dict] = {}
+                longest = ""
                 cut = _paragraphs(own, signs)
+                is_signed = any(s and x.strip() for x, s in zip(own, signs))
                 for no, (lines, after) in enumerate(cut):
                     text, spans = sentences(lines)
                     paragraphs.append(text)
                     apart = after or no == len(cut) - 1
+                    last = no == len(cut) - 1 and no > 0 and not is_signed
+                    context = _hash(longest)
                     beside = apart and (after or no > 0) and bool(_NOTICE.search(text))
                     for start, end in spans:
                         line = text[start:end]
@@ -217,12 +226,17 @@ def _blocks(key: str):
                         if got is None:
                             if len(memo) > 20_000:
                                 memo.clear()
-                            got = memo[line] = (folded(line), bool(_NOTICE.search(line)))
+                            got = memo[line] = (folded(line), bool(_NOTICE.search(line)), _hash(" ".join(shape(line).lower().split())))
                         if got[0]:
-                            rows.append({"no": no, "start": start, "end": end, "folded": got[0], "worded": beside or apart and got[1]})
+                            mark = {"no": no, "start": start, "end": end, "folded": got[0], "exact": got[2], "context": context, "first": got[2] not in firsts, "worded": beside or apart and got[1], "own": got[1], "after": after, "last": last}
+                            one = firsts.setdefault(got[2], mark)
+                            one["worded"] |= mark["worded"]
+                            rows.append(mark)
+                            if not after and len(got[0]) > len(longest):
+                                longest = got[0]
                 keys.append(i)
                 quoted.append(bool(earlier))
-                signed.append(any(s and x.strip() for x, s in zip(own, signs)))
+                signed.append(is_signed)
                 news.append(paragraphs)
                 marks.append(rows)
             kind = pa.list_(pa.struct(_MARK))
@@ -234,7 +248,7 @@ def _blocks(key: str):
 def body_blocks(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, quoted, signature, paragraphs, marks): each non-null body cut by form, the sentences of its own paragraphs folded."""
     src = df.where(F.col(body).isNotNull()).select(key, body)
-    return src.mapInArrow(_blocks(key), f"`{key}` {src.schema[0].dataType.simpleString()}, quoted boolean, signature boolean, paragraphs array<string>, marks array<struct<no:int,start:int,end:int,folded:string,worded:boolean>>")
+    return src.mapInArrow(_blocks(key), f"`{key}` {src.schema[0].dataType.simpleString()}, quoted boolean, signature boolean, paragraphs array<string>, marks array<struct<no:int,start:int,end:int,folded:string,exact:bigint,context:bigint,first:boolean,worded:boolean,own:boolean,after:boolean,last:boolean>>")
 
 
 @F.pandas_udf(LongType())
@@ -254,18 +268,37 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 def standing_notices(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFrame:
     """Distinct folded sentences that belong to standing notices of law or company.
 
-    Seeds stand, the same word for word, in at least ``min_mails`` mails, and in
-    four of five of them at the end of the own text or after the signature with
-    a notice's wording in the sentence or in its paragraph. Any sentence near
-    one of them is a notice, too: their fingerprints share one of eight parts
-    and differ in at most seven bits, and their edit distance is at most a tenth
-    of their length. Distinct texts are compared, so a notice in a third of all
-    mails is one row.
+    A seed is told by what the whole corpus shows. One of these must hold:
+
+    * After the signature, word for word and digit for digit, in mails of at
+      least ``min_mails`` different texts, and in four of five of the signed
+      mails that hold it. Copies of one mail, whatever their salutation, are one
+      text.
+    * The last paragraph of unsigned mails after at least ten different texts,
+      and in nine of ten of all that hold it, where so few mails are signed that
+      less than one of these could be expected to be.
+    * A notice's wording in it or in its paragraph, and in at least
+      ``min_mails`` mails and four of five of all at the end or after the
+      signature.
+    * A notice's wording in it, and after the signature in each signed mail that
+      holds it, be it one.
+
+    Any sentence near a seed is a notice, too: their fingerprints share one of
+    eight parts and differ in at most seven bits, and their edit distance is at
+    most a tenth of their length. Distinct texts are compared, so a notice in a
+    third of all mails is one row.
     """
-    p = blocks.select(key, F.explode("marks").alias("m")).groupBy(F.col("m.folded").alias("folded"), key).agg(F.bool_or("m.worded").alias("worded"))
-    distinct = p.groupBy("folded").agg(F.count("*").alias("mails"), F.count_if("worded").alias("worded"))
-    distinct = distinct.select("folded", ((F.col("worded") >= min_mails) & (F.col("worded") >= 0.8 * F.col("mails"))).alias("seed"))
-    return _near_seeds(distinct)
+    share = blocks.agg(F.coalesce(F.avg(F.col("signature").cast("double")), F.lit(0.0)).alias("share"))
+    p = blocks.select("signature", F.explode("marks").alias("m")).where("m.first").select("signature", "m.*")
+    texts = p.groupBy("folded", "exact", "context").agg(F.count("*").alias("mails"), F.count_if("signature").alias("signed"), F.count_if("after").alias("after"), F.count_if("last").alias("last"), F.count_if("worded").alias("worded"), F.bool_or("own").alias("own"))
+    sums = [F.sum(c).alias(c) for c in ("mails", "signed", "after", "last", "worded")]
+    exact = texts.groupBy("folded", "exact").agg(*sums, F.bool_or("own").alias("own"), F.count_if(F.col("after") > 0).alias("after_texts"), F.count_if(F.col("last") > 0).alias("last_texts")).join(F.broadcast(share))
+    behind = (F.col("after_texts") >= min_mails) & (F.col("after") >= 0.8 * F.col("signed"))
+    ends = (F.col("last_texts") >= 10) & (F.col("last") >= 0.9 * F.col("mails")) & (F.col("mails") * F.col("share") < 1)
+    rare = F.col("own") & (F.col("after") > 0) & (F.col("after") == F.col("signed"))
+    told = exact.select("folded", "mails", "worded", (behind | ends | rare).alias("told"))
+    by_text = told.groupBy("folded").agg(F.sum("mails").alias("mails"), F.sum("worded").alias("worded"), F.bool_or("told").alias("told"))
+    return _near_seeds(by_text.select("folded", (F.col("told") | (F.col("worded") >= min_mails) & (F.col("worded") >= 0.8 * F.col("mails"))).alias("seed")))
 
 
 def _near_seeds(distinct: DataFrame) -> DataFrame:

@@ -119,6 +119,22 @@ def test_notices_of_any_length_and_place(spark):
     assert [new[i] for i in (0, 7, 8)] == ["Text 0.", "First line", "We met at noon. Bye now."] and len(new[9]) > 800
 
 
+WORDS = "amber birch cedar delta ember fjord grove heath islet juniper knoll larch".split()
+OTHER = "If you have received this email in error, please notify us. It is intended solely for the person named."
+
+
+def test_notices_by_place_and_recurrence(spark):
+    signed = [(i, f"Hello,\n\nThe {w} report is ready for {w} now.\n\nBest regards,\nAnna Berg\n\n{OTHER}") for i, w in enumerate(WORDS[:4])]
+    copies = [(10 + i, f"Dear {w},\n\nThe yearly sale of all our goods begins on Friday.\n\nBest regards,\nAnna Berg\n\nP.S. The first hundred guests get a gift.") for i, w in enumerate(WORDS[:5])]
+    once = [(20, "One more thing.\n\nBest regards,\nAnna Berg\n\nThis letter may be privileged, so keep it.")]
+    plain = [(30, f"The {WORDS[4]} report is ready.\n\nPlease call me.")]
+    df = spark.createDataFrame([*signed, *copies, *once, *plain], "id long, body string")
+    assert [r[0] for r in rows(authored.found_pieces(df, "id", "body")) if r[1] == "disclaimer"] == [0, 1, 2, 3, 20]
+    assert dict(rows(authored.classified(df, "id", "body").select("id", "new_text")))[1] == "Hello,\n\nThe birch report is ready for birch now."
+    unsigned = spark.createDataFrame([(i, f"The {w} report is ready for {w} now.\n\n{OTHER}") for i, w in enumerate(WORDS)] + [(20 + i, f"Hello,\n\nThe {w} fair opens.") for i, w in enumerate(WORDS)], "id long, body string")
+    assert rows(authored.found_pieces(unsigned, "id", "body")) == [(i, "disclaimer") for i in range(len(WORDS))]
+
+
 @given(st.text("abc ", max_size=12), st.text("abc ", max_size=12), st.integers(0, 4))
 @settings(max_examples=150, deadline=None)
 def test_banded_distance(a, b, k):
