@@ -91,8 +91,15 @@ def rar_names(data: bytes) -> tuple[list[str], bool]:
     return names, False
 
 
-def cfb_entries(data: bytes) -> dict[str, bytes | None]:
-    """Names of a compound file's directory and the contents of its streams; nothing of a broken file."""
+class CutShort(ValueError):
+    """A compound file in which a chain of sectors ends before its contents do."""
+
+
+def cfb_entries(data: bytes, whole: bool = False) -> dict[str, bytes | None]:
+    """Names of a compound file's directory and the contents of its streams; nothing of a broken file.
+
+    ``whole``: a chain of sectors that ends too soon is an error, else what there is of it comes out.
+    """
     if not data.startswith(CFB) or len(data) < 512:
         return {}
     try:
@@ -102,6 +109,11 @@ def cfb_entries(data: bytes) -> dict[str, bytes | None]:
         read = lambda n: data[(n + 1) * sector : (n + 2) * sector]
         fat: list[int] = []
         difat = [x for x in struct.unpack_from("<109I", data, 76) if x < 0xFFFFFFFA]
+        at, seen = struct.unpack_from("<I", data, 68)[0], set()
+        while at < 0xFFFFFFFA and at not in seen:  # the FAT's sectors that the header has no room for
+            seen.add(at)
+            *more, at = struct.unpack(f"<{sector // 4}I", read(at).ljust(sector, b"\xff"))
+            difat += [x for x in more if x < 0xFFFFFFFA]
         for n in difat:
             fat += struct.unpack(f"<{sector // 4}I", read(n).ljust(sector, b"\xff"))
 
@@ -110,8 +122,15 @@ def cfb_entries(data: bytes) -> dict[str, bytes | None]:
             while n < len(table) and len(out) <= len(table):
                 out.append(n)
                 n = table[n]
+            if whole and n != 0xFFFFFFFE and (out or n < 0xFFFFFFFA):
+                raise CutShort(f"a chain of {len(out)} sectors has no end")
             return out
 
+        def cut(content: bytes, size: int, name: str) -> bytes:
+            if whole and len(content) < size:
+                raise CutShort(f"{name} has {len(content)} of {size} bytes")
+            return content[:size]
+
         directory = b"".join(map(read, chain(dir_at, fat)))
         mini_fat = [x for n in chain(mini_at, fat) for x in struct.unpack(f"<{sector // 4}I", read(n).ljust(sector, b"\xff"))] if mini_at < 0xFFFFFFFA else []
         out: dict[str, bytes | None] = {}
@@ -136,10 +155,12 @@ def cfb_entries(data: bytes) -> dict[str, bytes | None]:
                 out[path] = None
                 stack.append((child, f"{path}/"))
             elif size < cutoff:
-                out[path] = b"".join(root[k * mini : (k + 1) * mini] for k in chain(start, mini_fat))[:size]
+                out[path] = cut(b"".join(root[k * mini : (k + 1) * mini] for k in chain(start, mini_fat)) if size else b"", size, path)
             else:
-                out[path] = b"".join(map(read, chain(start, fat)))[:size]
+                out[path] = cut(b"".join(map(read, chain(start, fat))), size, path)
         return out
+    except CutShort:
+        raise
     except (struct.error, IndexError, ValueError):
         return {}
 

@@ -159,7 +159,7 @@ def parse_text(data: bytes) -> dict:
 
 def parse_msg(data: bytes) -> dict:
     """An Outlook message: its properties by the numbers of their streams."""
-    entries = files.cfb_entries(data)
+    entries = files.cfb_entries(data, whole=True)
     if not entries:
         raise ValueError("no compound file")
 

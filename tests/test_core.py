@@ -1,4 +1,5 @@
 import io
+import struct
 import zipfile
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -245,3 +246,31 @@ def test_streams(spark, tmp_path):
     q = jobs.into_table(stream, str(tmp_path / "t"), str(tmp_path / "cp"), "k", "t").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.k, r.status) for r in jobs.current_table(spark, str(tmp_path / "t")).collect()) == [("m1", "done"), ("m2", "new")]
+
+
+def compound_file(content: bytes, listed: bool = True) -> bytes:
+    """A compound file of 512-byte sectors with one large stream; ``listed``: the FAT's sectors past the 109th are named."""
+    n = -(-len(content) // 512)
+    fats = -(-(n + 200) // 128)
+    difats = -(-(fats - 109) // 127)
+    fat = [0xFFFFFFFE, *range(2, n + 1), 0xFFFFFFFE, *[0xFFFFFFFD] * fats, *[0xFFFFFFFC] * difats]
+    fat += [0xFFFFFFFF] * (fats * 128 - len(fat))
+    places = list(range(n + 1, n + 1 + fats))
+    record = lambda name, kind, child, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBBIII", 2 * len(name) + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, child) + bytes(36) + struct.pack("<IQ", start, size)
+    directory = record("Root Entry", 5, 1, 0xFFFFFFFE, 0) + record("big", 2, 0xFFFFFFFF, 1, len(content)) + bytes(256)
+    more = places[109:] + [0xFFFFFFFF] * (difats * 127 - len(places[109:]))
+    chain = b"".join(struct.pack("<128I", *more[i * 127 : (i + 1) * 127], n + 2 + fats + i if i + 1 < difats else 0xFFFFFFFE) for i in range(difats))
+    head = files.CFB + bytes(16) + struct.pack("<HHHHH6xIIIIIIIIII", 62, 3, 0xFFFE, 9, 6, 0, fats, 0, 0, 4096, 0xFFFFFFFE, 0, n + 1 + fats if listed else 0xFFFFFFFE, difats, places[0])
+    head = head[:76] + struct.pack("<109I", *places[:109])
+    return head + directory + content.ljust(n * 512, b"\0") + struct.pack(f"<{len(fat)}I", *fat) + chain
+
+
+def test_large_compound_file():
+    content = bytes(range(251)) * 65_000  # 16 MB: two DIFAT sectors
+    assert files.cfb_entries(compound_file(content), whole=True) == {"big": content}
+    broken = compound_file(content, listed=False)
+    assert len(files.cfb_entries(broken)["big"]) < len(content)
+    with pytest.raises(files.CutShort):
+        files.cfb_entries(broken, whole=True)
+    with pytest.raises(files.CutShort):
+        M.parse_msg(broken)
