@@ -121,10 +121,14 @@ def report_docx(markdown: str) -> bytes:
 
 
 def report_pdf(markdown: str) -> bytes:
-    """One page of plain ASCII lines."""
+    """Plain ASCII lines, 52 a page."""
     lines = [x.encode("ascii", "replace").decode().replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") for x in markdown.split("\n")]
-    stream = "BT /F1 10 Tf 50 790 Td 14 TL " + " ".join(f"({x}) Tj T*" for x in lines[:52]) + " ET"
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", "<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", f"<< /Length {len(stream)} >>\nstream\n{stream}\nendstream", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    pages = [lines[i : i + 52] for i in range(0, len(lines), 52)]
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for i, page in enumerate(pages):
+        stream = "BT /F1 10 Tf 50 790 Td 14 TL " + " ".join(f"({x}) Tj T*" for x in page) + " ET"
+        objects += [f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents {5 + 2 * i} 0 R /Resources << /Font << /F1 3 0 R >> >> >>", f"<< /Length {len(stream)} >>\nstream\n{stream}\nendstream"]
     out, at = b"%PDF-1.4\n", []
     for i, o in enumerate(objects, 1):
         at.append(len(out))

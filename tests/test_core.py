@@ -274,3 +274,8 @@ def test_large_compound_file():
         files.cfb_entries(broken, whole=True)
     with pytest.raises(files.CutShort):
         M.parse_msg(broken)
+
+
+def test_long_report_has_all_lines():
+    pdf = X.report_pdf("\n".join(f"line {i}" for i in range(120)))
+    assert all(f"(line {i}) Tj".encode() in pdf for i in range(120)) and pdf.count(b"/Type /Page /") == 3 and b"/Count 3" in pdf
