@@ -12,7 +12,7 @@ from mailquern.functions.hosts import registrable_domain
 from mailquern.functions.text import normalise_homoglyphs
 
 SCHEMA = "name string, domains array<string>, esp_domains array<string>, keywords array<string>, locale string, colors array<string>, logo_phash bigint, org_id string, load_order int"
-#: More labels than this are matched in blocks, so that what a task holds stays bounded.
+#: More labels or keywords than this are matched in blocks, so that what a task holds stays bounded.
 BLOCK = 20_000
 
 
@@ -130,7 +130,15 @@ def match_hosts(hosts: DataFrame, brands: DataFrame, host: str = "host") -> Data
 def match_texts(texts: DataFrame, key: str, text: str, brands: DataFrame) -> DataFrame:
     """(key, name, locale, score): the brand whose keywords a text holds most of; two make a score of 1, ties go to the first."""
     words = brands.select("name", "locale", "load_order", F.explode("keywords").alias("word"))
-    hit = texts.select(key, F.lower(text).alias("t")).join(F.broadcast(words.limit(BLOCK)), F.contains(F.col("t"), F.col("word")))
+    low, hit = texts.select(key, F.lower(text).alias("t")), None
+    rows = words.toLocalIterator()
+    done = False
+    while not done:
+        block = [tuple(r) for _, r in zip(range(BLOCK), rows)]
+        done = len(block) < BLOCK
+        if block or hit is None:
+            part = low.join(F.broadcast(texts.sparkSession.createDataFrame(block, words.schema)), F.contains(F.col("t"), F.col("word")))
+            hit = part if hit is None else hit.unionByName(part)
     counts = hit.groupBy(key, "name", "locale", "load_order").agg(F.least(F.lit(1.0), F.count("*") / 2.0).alias("score"))
     return counts.groupBy(key).agg(F.max_by(F.struct("name", "locale", "score"), F.struct("score", -F.col("load_order"))).alias("m")).select(key, "m.name", "m.locale", "m.score")
 

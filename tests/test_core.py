@@ -279,3 +279,12 @@ def test_large_compound_file():
 def test_long_report_has_all_lines():
     pdf = X.report_pdf("\n".join(f"line {i}" for i in range(120)))
     assert all(f"(line {i}) Tj".encode() in pdf for i in range(120)) and pdf.count(b"/Type /Page /") == 3 and b"/Count 3" in pdf
+
+
+def test_all_keywords_are_matched(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 2)
+    brands = spark.createDataFrame([(w, [], [], [w], "global", [], None, "", i) for i, w in enumerate("amber birch cedar delta ember".split())], B.SCHEMA)
+    texts = spark.createDataFrame([(i, f"The {w} shop") for i, w in enumerate("AMBER birch cedar delta ember none".split())], "k long, t string")
+    got = sorted((r.k, r.name, r.score) for r in B.match_texts(texts, "k", "t", brands).collect())
+    assert got == [(i, w, 0.5) for i, w in enumerate("amber birch cedar delta ember".split())]
+    assert B.match_texts(texts, "k", "t", brands.limit(0)).count() == 0
