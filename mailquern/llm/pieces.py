@@ -51,11 +51,11 @@ class Sizes:
         return int(np.searchsorted(self.char, byte, side="right")) - 1
 
 
-def _parts(text: str, sizes: Sizes, most: int) -> list[int]:
+def _parts(text: str, sizes: Sizes, most: int, start: int = 0, end: int | None = None, cuts: list[np.ndarray | None] | None = None) -> list[int]:
     """The ends of the parts, none of more than ``most`` tokens as counted within the whole text."""
-    cuts: list[np.ndarray | None] = [None] * len(LEVELS)
+    cuts = [None] * len(LEVELS) if cuts is None else cuts
     out: list[int] = []
-    stack = [(0, len(text), 0)]
+    stack = [(start, len(text) if end is None else end, 0)]
     n = lambda a, b: int(np.diff(sizes.before(np.array([a, b])))[0])
     while stack:
         a, b, level = stack.pop()
@@ -84,8 +84,10 @@ def _parts(text: str, sizes: Sizes, most: int) -> list[int]:
 def split_text(enc: Encoder, text: str, limit: int = 1024, overlap: int = 64) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of a text, in characters; one piece if it is within the limit.
 
-    Counting a piece by itself may give other tokens at its edges than the whole
-    text has there, so each piece is encoded and gives up parts until it fits.
+    A part that fits a piece beside the overlap is never cut. Counting a piece
+    by itself may give other tokens at its edges than the whole text has there,
+    so each piece is encoded and gives up parts until it fits; a single part
+    that doesn't is split at its next finer boundary.
     """
     if not text:
         return []
@@ -94,7 +96,8 @@ def split_text(enc: Encoder, text: str, limit: int = 1024, overlap: int = 64) ->
     if len(ids) <= limit:
         return [(0, len(text), len(ids))]
     sizes = Sizes(enc, text, ids)
-    ends = _parts(text, sizes, max(1, (limit - overlap) // 2))
+    cuts: list[np.ndarray | None] = [None] * len(LEVELS)
+    ends = _parts(text, sizes, max(1, limit - overlap), 0, None, cuts)
     before = sizes.before(np.array(ends)).tolist()
     pieces: list[tuple[int, int, int]] = []
     start, done, i = 0, 0, 0
@@ -104,15 +107,17 @@ def split_text(enc: Encoder, text: str, limit: int = 1024, overlap: int = 64) ->
         while (n := count(start, ends[j])) > limit and j > i:
             j -= 1
         end = ends[j]
-        if n > limit:  # not even one part beside the overlap: as many characters as fit
-            lo, hi = done + 1, end
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if count(start, mid) <= limit else (lo, mid - 1)
-            end, n = lo, count(start, lo)
+        if n > limit and end - done > 1:  # not even one part beside the overlap: that part is split once more
+            own = int(np.diff(sizes.before(np.array([done, end])))[0])
+            finer = _parts(text, sizes, max(1, min(own - 1, limit - overlap - (n - limit))), done, end, cuts)
+            if len(finer) == 1:
+                finer = [(done + end) // 2, end]
+            ends[j : j + 1] = finer
+            before[j : j + 1] = sizes.before(np.array(finer)).tolist()
+            continue
         pieces.append((start, end, n))
         done = end
-        i = j + 1 if end == ends[j] else j
+        i = j + 1
         start = sizes.tail(end, overlap) if overlap else end
     return pieces
 
