@@ -16,32 +16,40 @@ R = Registry()
 def _domain_values(spark: SparkSession, sf: str) -> DataFrame:
     addr = table(spark, sf, "addresses").select(F.lit("addr_domain").alias("field_name"), F.col("addr_id").alias("id_b"), F.col("addr_domain").alias("value"))
     ev = table(spark, sf, "notify_events").select(F.lit("link_domains").alias("field_name"), F.col("event_no").alias("id_b"), F.explode("link_domains").alias("value"))
-    return addr.unionByName(ev).where(F.col("value").isNotNull())
+    return addr.unionByName(ev).where(F.col("value").isNotNull() & F.col("id_b").isNotNull())
 
 
 @R.query("p1_found")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Domains that show a known domain's name, and pairs of bodies that look the same.
 
-    The known domains are a stated table of a few rows; Spark broadcasts it only
-    below its size threshold. Bodies meet by the hash of their canonical form's
-    shape; copies of one text count as one, so a group's texts are paired only
-    where they differ.
+    Values meet by their canonical forms. ASCII domains are their own form but
+    for blanks at the ends, so only the others are scanned; the known names, a
+    stated table, are canonical by themselves and part of the vocabulary. Of
+    bodies the distinct texts of one form are paired, and each pair then meets
+    its rows: copies of one text cost nothing but the cases they are.
     """
     from .lookalike import canonical
 
-    known = table(spark, sf, "known_domains").where(F.col("domain_name").isNotNull())
-    names = canonical(known.withColumn("value", F.col("domain_name")), ["domain_id", "domain_name"], "value", whole_texts=False).select("domain_id", "domain_name", "shape")
+    known = table(spark, sf, "known_domains").where(F.col("domain_name").isNotNull() & F.col("domain_id").isNotNull()).select("domain_id", "domain_name").distinct()
     values = _domain_values(spark, sf)
-    seen = canonical(values.withColumn("text", F.col("value")), ["field_name", "id_b", "value"], "text", whole_texts=False)
-    domains = seen.join(names, "shape").where(F.col("value") != F.col("domain_name")).select("field_name", F.col("domain_id").alias("id_a"), "id_b").distinct()
-
-    bodies = canonical(table(spark, sf, "prompt_data").withColumn("h", F.xxhash64("body", F.length("body"))), ["prompt_id", "h"], "body").select("prompt_id", "h", "shape").where(F.col("prompt_id").isNotNull()).distinct()
-    several = bodies.groupBy("shape").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where(F.col("lo") != F.col("hi")).select("shape")
-    those = bodies.join(several, "shape", "left_semi")
-    left, right = those.select("shape", F.col("prompt_id").alias("id_a"), F.col("h").alias("ha")), those.select("shape", F.col("prompt_id").alias("id_b"), F.col("h").alias("hb"))
-    pairs = left.join(right, "shape").where((F.col("id_a") < F.col("id_b")) & (F.col("ha") != F.col("hb"))).select(F.lit("body").alias("field_name"), "id_a", "id_b")
-    return domains.unionByName(pairs.distinct())
+    odd = values.where(F.col("value").rlike(r"[^\x00-\x7f]")).unionByName(known.select(F.lit("known").alias("field_name"), F.col("domain_id").alias("id_b"), F.col("domain_name").alias("value")))
+    forms = canonical(odd, ["field_name", "id_b", "value"], "value", all_texts=False, strip=True)
+    names = forms.where("field_name = 'known'").select("form", F.col("id_b").alias("domain_id"), F.col("value").alias("domain_name"))
+    seen = forms.where("field_name <> 'known'")
+    blanks = r"^[\s]+|[\s]+$"
+    ascii_names = known.where(~F.col("domain_name").rlike(r"[^\x00-\x7f]"))
+    spaced = values.where(F.col("value").rlike(r"^[\x00-\x7f]*$") & F.col("value").rlike(blanks)).withColumn("domain_name", F.regexp_replace("value", blanks, ""))
+    domains = seen.join(names, "form").where(F.col("value") != F.col("domain_name")).select("field_name", F.col("domain_id").alias("id_a"), "id_b").unionByName(spaced.join(ascii_names, "domain_name").select("field_name", F.col("domain_id").alias("id_a"), "id_b")).distinct()
+
+    texts = table(spark, sf, "prompt_data").where(F.col("prompt_id").isNotNull()).withColumn("h", F.xxhash64("body", F.length("body")))
+    bodies = canonical(texts, ["prompt_id", "h"], "body", all_texts=False).select("prompt_id", "h", "form").distinct()
+    distinct = bodies.select("form", "h").distinct()
+    several = distinct.groupBy("form").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where(F.col("lo") != F.col("hi")).select("form")
+    variants = distinct.join(several, "form", "left_semi")
+    pairs = variants.select("form", F.col("h").alias("ha")).join(variants.select("form", F.col("h").alias("hb")), "form").where("ha < hb")
+    met = pairs.join(bodies.select("form", F.col("h").alias("ha"), F.col("prompt_id").alias("a")), ["form", "ha"]).join(bodies.select("form", F.col("h").alias("hb"), F.col("prompt_id").alias("b")), ["form", "hb"]).where("a <> b")
+    return domains.unionByName(met.select(F.lit("body").alias("field_name"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct())
 
 
 @R.query("p1_canonical")

@@ -37,6 +37,43 @@ def test_canonical(spark):
     assert lookalike.repair("экcпреcс") == "экспресс" and lookalike.repair("abc") is None
 
 
+@pytest.mark.parametrize(
+    "raw,repaired",
+    [
+        ("please make Тһе соpу today", "please make The copy today"),  # tokens without a certain letter go by their line
+        ("код из CMC для карты", "код из СМС для карты"),
+        ("алтын-сарай.ɡον.test", "алтын-сарай.gov.test"),
+        ("case PLAAC835Н.", "case PLAAC835H."),
+        ("prо\u0301ximo", "próximo"),
+        ("он сказал о том, a не о сем", "он сказал о том, а не о сем"),
+        ("naïve café", "naïve café"),
+    ],
+)
+def test_repairs_by_token_and_line(raw, repaired):
+    p = lookalike.plain(raw)
+    assert lookalike.put(p, lookalike.Repairs().places(p)) == repaired
+
+
+def test_canonical_needs_the_vocabulary(spark):
+    d = spark.createDataFrame([(1, "zzсzzb"), (2, "tоken"), (3, "tokеn"), (4, "сopper"), (5, "copper"), (6, "x" * 5000 + " сopper")], "id long, t string")
+    got = dict(rows(lookalike.canonical(d, ["id"], "t").select("id", F.col("canonical"))))
+    assert got[1] == "zzсzzb"  # no word of the corpus
+    assert got[2] == got[3] == "token"  # two spellings of one word
+    assert got[4] == "copper" and got[6].endswith(" copper")
+
+
+def test_p1_found_pairs_distinct_texts(spark, tmp_path):
+    from mailquern.llm.queries import p1_found
+
+    spark.createDataFrame([(1, "apexdocs.test", "x"), (2, None, "x")], "domain_id long, domain_name string, extra string").write.parquet(f"{tmp_path}/known_domains.parquet")
+    spark.createDataFrame([(7, " apexdocs.test"), (8, "аpexdocs.test"), (9, "apexdocs.test"), (10, None), (11, "Apexdocs.test")], "addr_id long, addr_domain string").write.parquet(f"{tmp_path}/addresses.parquet")
+    spark.createDataFrame([(1, ["apexdocs\u200b.test", None, "apexdocs.test"]), (2, None)], "event_no long, link_domains array<string>").write.parquet(f"{tmp_path}/notify_events.parquet")
+    bodies = [(i, "the copper leaf") for i in range(20)] + [(20, "the сopper leaf"), (20, "the сopper leaf"), (21, None), (22, ""), (23, "The copper leaf")]
+    spark.createDataFrame(bodies, "prompt_id long, body string").write.parquet(f"{tmp_path}/prompt_data.parquet")
+    got = rows(p1_found(spark, str(tmp_path)))
+    assert got == [("addr_domain", 1, 7), ("addr_domain", 1, 8), *(("body", i, 20) for i in range(20)), ("link_domains", 1, 1)]
+
+
 # 2
 
 
@@ -260,3 +297,12 @@ def test_split_texts(spark):
     assert got[0] == (1, 1, 1) and [g[0] for g in got] == [1, 4] and got[1][1] >= 6 and got[1][2] <= 1024
     assert pieces.split_texts(d.limit(0), "k", "t").count() == 0
     assert np.dtype(np.int32).itemsize == 4
+
+
+def test_a_part_that_fits_is_never_cut():
+    enc = bpe.encoder(bpe.vocabulary())
+    paragraph = " ".join("word alpha beta gamma delta." for _ in range(103))
+    assert 700 < len(enc.encode(paragraph)) // 4 < 740
+    text = "\n\n".join([paragraph] * 4)
+    ends = [len(paragraph) * k + 2 * min(k, 3) for k in range(1, 5)]
+    assert [b for _, b, _ in pieces.split_text(enc, text)] == ends
