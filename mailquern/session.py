@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +29,36 @@ def local_session(cpus: int | None = None, memory: str = "6g", app: str = "mailq
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one of ``spark.checkpoint.dir``, or the checkpoint folder of the context.
+
+    Only a session of one machine (``local`` or ``local[...]``) may do without;
+    it gets a temporary folder, which goes when the process ends. A cluster
+    without the setting is an error, since its executors could not read what
+    others wrote.
+    """
+    sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="mailquern-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the folder that all executors share and read it back.
+    """``df`` written once as a table of its own in the shared folder, and read back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, a single machine) a temporary one is made.
+    This cuts the lineage; lost executors cost nothing but what they were doing.
+    The write runs when this is called.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mailquern-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/mailquern-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
