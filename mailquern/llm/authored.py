@@ -1,15 +1,19 @@
 """E-mail bodies reduced to what their sender wrote anew.
 
-Bodies are cut into blocks. Marked history (quote signs, header blocks,
-introductions) and closing lines are told by their form. What a sender or a
-company always sends along has no form of its own: the sentences of all own
-text are fingerprinted by SimHash, near-matches of standing sentences are
-retrieved through tables of the fingerprint's parts, and a match is verified by
-edit distance. Matched sentences are taken out, whatever stands beside them.
+The sentences of all bodies are fingerprinted by SimHash; near-matches in other
+mails are retrieved through tables of the fingerprint's parts and verified by
+edit distance. A sentence that has one is inherited or boilerplate - or new, in
+a corpus whose writers repeat each other. So a match is needed, and the place
+tells what it means: a block in the form of history (quote signs, header blocks,
+introductions) is an earlier message if a sentence of it has a match, closing
+lines are a signature if a part of them has one, and standing notices, which
+have no form of their own, are told by where their sentences recur. Matched
+sentences are taken out, whatever stands beside them.
 """
 
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -72,7 +76,7 @@ def _cut(text: str) -> tuple[list[str], list[bool], list[str]]:
     for i, x in enumerate(lines):
         if quoted[i]:
             continue
-        if _INTRO.search(x) and len(x) < 200:
+        if _INTRO.search(x):
             first = i  # an introduction may be folded over as many as three lines
             while first > 0 and i - first < 2 and lines[first - 1].strip() and not _opens(lines[first]) and not quoted[first - 1]:
                 first -= 1
@@ -83,7 +87,7 @@ def _cut(text: str) -> tuple[list[str], list[bool], list[str]]:
             quoted[first:end] = [True] * (end - first)
         elif _FORWARD.match(x) and x.strip():
             quoted[i:] = [True] * (n - i)
-        elif _FIELD.match(x) and sum(bool(_FIELD.match(y)) for y in lines[i : i + 5]) >= 2:
+        elif _FIELD.match(x) and sum(bool(_FIELD.match(y)) for y in takewhile(str.strip, lines[i:])) >= 2:
             first = i - 1 if i and _RULE.match(lines[i - 1]) else i
             quoted[first:] = [True] * (n - first)
     own = [x for x, q in zip(lines, quoted) if not q]
@@ -154,7 +158,7 @@ def distance_within(a: str, b: str, most: int) -> bool:
 
 
 #: Bits in which fingerprints of near-matches may differ, and the parts of the fingerprint: with one part more, one must agree.
-NEAR_BITS, PARTS = 7, 8
+NEAR_BITS, PARTS = 3, 4
 NEAR_SHARE = 0.1
 
 
@@ -194,61 +198,124 @@ def _paragraphs(own: list[str], signed: list[bool]) -> list[tuple[list[str], boo
     return out
 
 
-_MARK = [("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("folded", pa.string()), ("exact", pa.int64()), ("context", pa.int64()), ("first", pa.bool_()), ("worded", pa.bool_()), ("own", pa.bool_()), ("after", pa.bool_()), ("last", pa.bool_())]
+#: What is told of a sentence: its paragraph and place there (of own text), the hashes of its folded text, of its letters as they stand and of the text it stands behind, and where it stands.
+MARKS = {"no": "int", "start": "int", "end": "int", "id": "bigint", "exact": "bigint", "context": "bigint", "first": "boolean", "worded": "boolean", "own": "boolean", "after": "boolean", "last": "boolean", "part": "tinyint"}
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "tinyint": pa.int8()}
+OWN, QUOTED, SIGNED = 0, 1, 2
+_SIGNS = re.compile(r"^[ \t]*(?:[>|][ >|]*)+")
+_PIECES = re.compile(r"[,|/]|[ \t][—–-]+[ \t]")
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def _quoted_sentences(lines: list[str]) -> Iterator[str]:
+    """The sentences of quoted lines without their quote signs."""
+    now: list[str] = []
+    for x in [*lines, ""]:
+        x = _SIGNS.sub("", x)
+        if x.strip():
+            now.append(x)
+        elif now:
+            text, spans = sentences(now)
+            yield from (text[a:b] for a, b in spans)
+            now = []
+
+
+class _Teller:
+    """What is told of each line or sentence; kept, up to a number of them."""
+
+    def __init__(self) -> None:
+        self.memo: dict[str, tuple[int, bool, int, int]] = {}
+        self.said: set[int] = set()
+        self.new: list[tuple[int, str]] = []
+
+    def __call__(self, line: str) -> tuple[int, bool, int, int]:
+        """(hash of the folded text or 0 without a word, whether it has a notice's wording, hash as it stands, length)."""
+        got = self.memo.get(line)
+        if got is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            f = folded(line)
+            got = self.memo[line] = (_hash(f) if f else 0, bool(_NOTICE.search(line)), _hash(" ".join(shape(line).lower().split())), len(f))
+            if f and got[0] not in self.said:
+                if len(self.said) > 1_000_000:
+                    self.said.clear()
+                self.said.add(got[0])
+                self.new.append((got[0], f))
+        return got
+
+
 def _blocks(key: str):
+    names = list(MARKS)
+
+    def marks(tell: _Teller, text: str) -> tuple[bool, bool, int, list[str], list[tuple]]:
+        own, signs, earlier = _cut(text)
+        cut = _paragraphs(own, signs)
+        is_signed = any(s and x.strip() for x, s in zip(own, signs))
+        paragraphs, rows = [], []
+        firsts: dict[int, list] = {}
+        longest = seen = 0
+        for no, (lines, after) in enumerate(cut):
+            text, spans = sentences(lines)
+            paragraphs.append(text)
+            last = no == len(cut) - 1
+            apart = after or last
+            beside = apart and (after or no > 0) and bool(_NOTICE.search(text))
+            context, ends = longest, last and no > 0 and not is_signed
+            for start, end in spans:
+                f, worded, exact, size = tell(text[start:end])
+                if f:
+                    row = [no, start, end, f, exact, context, exact not in firsts, beside or apart and worded, worded, after, ends, OWN]
+                    firsts.setdefault(exact, row)[7] |= row[7]
+                    rows.append(row)
+                    if not after and size > seen:
+                        longest, seen = f, size
+        quoted = dict.fromkeys(f for x in _quoted_sentences(earlier) if (f := tell(x)[0]))
+        signed = dict.fromkeys(f for x, s in zip(own, signs) if s for y in _PIECES.split(x) if (f := tell(y)[0]))
+        whole = 0
+        for f in (*dict.fromkeys(r[3] for r in rows), *quoted):
+            whole ^= f
+        for part, ids in ((QUOTED, quoted), (SIGNED, signed)):
+            rows += [[-1, 0, 0, f, 0, 0, False, False, False, False, False, part] for f in ids]
+        return bool(earlier), is_signed, whole, paragraphs, rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, bool, int]] = {}
+        tell = _Teller()
         for b in batches:
-            keys, quoted, signed, news, marks = [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                own, signs, earlier = _cut(t)
-                paragraphs, rows = [], []
-                firsts: dict[int, dict] = {}
-                longest = ""
-                cut = _paragraphs(own, signs)
-                is_signed = any(s and x.strip() for x, s in zip(own, signs))
-                for no, (lines, after) in enumerate(cut):
-                    text, spans = sentences(lines)
-                    paragraphs.append(text)
-                    apart = after or no == len(cut) - 1
-                    last = no == len(cut) - 1 and no > 0 and not is_signed
-                    context = _hash(longest)
-                    beside = apart and (after or no > 0) and bool(_NOTICE.search(text))
-                    for start, end in spans:
-                        line = text[start:end]
-                        got = memo.get(line)
-                        if got is None:
-                            if len(memo) > 20_000:
-                                memo.clear()
-                            got = memo[line] = (folded(line), bool(_NOTICE.search(line)), _hash(" ".join(shape(line).lower().split())))
-                        if got[0]:
-                            mark = {"no": no, "start": start, "end": end, "folded": got[0], "exact": got[2], "context": context, "first": got[2] not in firsts, "worded": beside or apart and got[1], "own": got[1], "after": after, "last": last}
-                            one = firsts.setdefault(got[2], mark)
-                            one["worded"] |= mark["worded"]
-                            rows.append(mark)
-                            if not after and len(got[0]) > len(longest):
-                                longest = got[0]
-                keys.append(i)
-                quoted.append(bool(earlier))
-                signed.append(is_signed)
+            quoted, signed, wholes, news, rows, ends, texts, text_ends = [], [], [], [], [], [0], [], [0]
+            for t in b.column(1).to_pylist():
+                q, s, whole, paragraphs, own = marks(tell, t)
+                quoted.append(q)
+                signed.append(s)
+                wholes.append(whole)
                 news.append(paragraphs)
-                marks.append(rows)
-            kind = pa.list_(pa.struct(_MARK))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(quoted, pa.bool_()), pa.array(signed, pa.bool_()), pa.array(news, pa.list_(pa.string())), pa.array(marks, kind)], [key, "quoted", "signature", "paragraphs", "marks"])
+                rows += own
+                ends.append(len(rows))
+                texts += tell.new
+                tell.new = []
+                text_ends.append(len(texts))
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            told = pa.StructArray.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, MARKS.values())], names)
+            said = pa.StructArray.from_arrays([pa.array([x for x, _ in texts], pa.int64()), pa.array([y for _, y in texts], pa.string())], ["id", "folded"])
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, told), (text_ends, said))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(quoted, pa.bool_()), pa.array(signed, pa.bool_()), pa.array(wholes, pa.int64()), pa.array(news, pa.list_(pa.string())), *lists], [key, "quoted", "signature", "whole", "paragraphs", "marks", "said"])
 
     return run
 
 
 def body_blocks(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, quoted, signature, paragraphs, marks): each non-null body cut by form, the sentences of its own paragraphs folded."""
+    """(key, quoted, signature, whole, paragraphs, marks, said): each non-null body cut by form, and what is told of its sentences.
+
+    ``quoted`` and ``signature``: whether a block has that form. Sentences are
+    named by the hash of their folded text; ``said`` holds the texts themselves,
+    each where a task meets it first. ``whole`` is a hash of all sentences of a
+    body, alike for copies of one mail.
+    """
     src = df.where(F.col(body).isNotNull()).select(key, body)
-    return src.mapInArrow(_blocks(key), f"`{key}` {src.schema[0].dataType.simpleString()}, quoted boolean, signature boolean, paragraphs array<string>, marks array<struct<no:int,start:int,end:int,folded:string,exact:bigint,context:bigint,first:boolean,worded:boolean,own:boolean,after:boolean,last:boolean>>")
+    kinds = ",".join(f"{n}:{k}" for n, k in MARKS.items())
+    return src.mapInArrow(_blocks(key), f"`{key}` {src.schema[0].dataType.simpleString()}, quoted boolean, signature boolean, whole bigint, paragraphs array<string>, marks array<struct<{kinds}>>, said array<struct<id:bigint,folded:string>>")
 
 
 @F.pandas_udf(LongType())
@@ -266,7 +333,7 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def standing_notices(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFrame:
-    """Distinct folded sentences that belong to standing notices of law or company.
+    """(id): the sentences that belong to standing notices of law or company.
 
     A seed is told by what the whole corpus shows. One of these must hold:
 
@@ -283,33 +350,60 @@ def standing_notices(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFra
     * A notice's wording in it, and after the signature in each signed mail that
       holds it, be it one.
 
-    Any sentence near a seed is a notice, too: their fingerprints share one of
-    eight parts and differ in at most seven bits, and their edit distance is at
-    most a tenth of their length. Distinct texts are compared, so a notice in a
-    third of all mails is one row.
+    Any sentence near a seed is a notice, too. Distinct texts are compared, so a
+    notice in a third of all mails is one row.
     """
     share = blocks.agg(F.coalesce(F.avg(F.col("signature").cast("double")), F.lit(0.0)).alias("share"))
-    p = blocks.select("signature", F.explode("marks").alias("m")).where("m.first").select("signature", "m.*")
-    texts = p.groupBy("folded", "exact", "context").agg(F.count("*").alias("mails"), F.count_if("signature").alias("signed"), F.count_if("after").alias("after"), F.count_if("last").alias("last"), F.count_if("worded").alias("worded"), F.bool_or("own").alias("own"))
+    p = blocks.select("signature", F.explode("marks").alias("m")).where(f"m.first AND m.part = {OWN}").select("signature", "m.*")
+    texts = p.groupBy("id", "exact", "context").agg(F.count("*").alias("mails"), F.count_if("signature").alias("signed"), F.count_if("after").alias("after"), F.count_if("last").alias("last"), F.count_if("worded").alias("worded"), F.bool_or("own").alias("own"))
     sums = [F.sum(c).alias(c) for c in ("mails", "signed", "after", "last", "worded")]
-    exact = texts.groupBy("folded", "exact").agg(*sums, F.bool_or("own").alias("own"), F.count_if(F.col("after") > 0).alias("after_texts"), F.count_if(F.col("last") > 0).alias("last_texts")).join(F.broadcast(share))
+    exact = texts.groupBy("id", "exact").agg(*sums, F.bool_or("own").alias("own"), F.count_if(F.col("after") > 0).alias("after_texts"), F.count_if(F.col("last") > 0).alias("last_texts")).join(F.broadcast(share))
     behind = (F.col("after_texts") >= min_mails) & (F.col("after") >= 0.8 * F.col("signed"))
     ends = (F.col("last_texts") >= 10) & (F.col("last") >= 0.9 * F.col("mails")) & (F.col("mails") * F.col("share") < 1)
     rare = F.col("own") & (F.col("after") > 0) & (F.col("after") == F.col("signed"))
-    told = exact.select("folded", "mails", "worded", (behind | ends | rare).alias("told"))
-    by_text = told.groupBy("folded").agg(F.sum("mails").alias("mails"), F.sum("worded").alias("worded"), F.bool_or("told").alias("told"))
-    return _near_seeds(by_text.select("folded", (F.col("told") | (F.col("worded") >= min_mails) & (F.col("worded") >= 0.8 * F.col("mails"))).alias("seed")))
+    told = exact.select("id", "mails", "worded", (behind | ends | rare).alias("told"))
+    by_text = told.groupBy("id").agg(F.sum("mails").alias("mails"), F.sum("worded").alias("worded"), F.bool_or("told").alias("told"))
+    seeds = by_text.where(F.col("told") | (F.col("worded") >= min_mails) & (F.col("worded") >= 0.8 * F.col("mails"))).select("id")
+    said = spoken(blocks)
+    near = near_matches(said.join(seeds, "id", "left_semi"), said.join(p.select("id").distinct(), "id", "left_semi"))
+    return seeds.unionByName(near.select(F.col("other").alias("id"))).distinct()
 
 
-def _near_seeds(distinct: DataFrame) -> DataFrame:
-    """(folded): the seeds of distinct (folded, seed) and what is near one."""
-    parts = F.posexplode(F.array(*(F.expr(f"shiftrightunsigned(hash, {64 // PARTS * i}) & {(1 << 64 // PARTS) - 1}") for i in range(PARTS)))).alias("part", "bits")
-    seeds = distinct.where("seed").select("folded")
-    left = seeds.withColumn("hash", _simhash("folded")).select(F.col("folded").alias("seed_text"), F.col("hash").alias("seed_hash"), parts)
-    right = distinct.select("folded", _simhash("folded").alias("hash")).select("folded", "hash", parts)
-    close = right.join(left, ["part", "bits"]).where(F.bit_count(F.col("hash").bitwiseXOR(F.col("seed_hash"))) <= NEAR_BITS)
-    pairs = close.select("folded", "seed_text").distinct()
-    return pairs.where(_near("folded", "seed_text")).select("folded").unionByName(seeds).distinct()
+def spoken(blocks: DataFrame) -> DataFrame:
+    """(id, folded): the distinct sentences of all bodies."""
+    return blocks.select(F.explode("said").alias("s")).groupBy("s.id").agg(F.min("s.folded").alias("folded"))
+
+
+def near_matches(some: DataFrame, every: DataFrame) -> DataFrame:
+    """(id, other): for sentences of ``some`` (id, folded) each other one of ``every`` that is near it.
+
+    Fingerprints share one of four parts of sixteen bits and differ in at most
+    three bits; the edit distance is at most a tenth of the length.
+    """
+    part = F.posexplode(F.array(*(F.expr(f"shiftrightunsigned(hash, {64 // PARTS * i}) & {(1 << 64 // PARTS) - 1}") for i in range(PARTS)))).alias("part", "bits")
+    left = some.withColumn("hash", _simhash("folded")).select("id", F.col("folded").alias("one"), "hash", part)
+    right = every.withColumn("hash", _simhash("folded")).select(F.col("id").alias("other"), F.col("folded").alias("two"), F.col("hash").alias("theirs"), part)
+    close = left.join(right, ["part", "bits"]).where((F.col("id") != F.col("other")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("theirs"))) <= NEAR_BITS))
+    pairs = close.groupBy("id", "other").agg(F.first("one").alias("one"), F.first("two").alias("two"))
+    return pairs.where(_near("one", "two")).select("id", "other")
+
+
+def inherited(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, piece): blocks in the form of history or of a signature of which a sentence has a near-match in another mail.
+
+    Equal sentences have equal fingerprints, so they are met by their hash;
+    copies of one mail are one mail. What is left without a match is looked up
+    in the tables.
+    """
+    m = blocks.select(key, "whole", F.explode("marks").alias("m")).select(key, "whole", "m.id", "m.part")
+    twice = m.groupBy("id").agg((F.min("whole") != F.max("whole")).alias("twice"))
+    formed = m.where(F.col("part") != OWN).select(key, "id", "part").join(twice, "id")
+    told = formed.groupBy(key, "part").agg(F.bool_or("twice").alias("met"), F.collect_set(F.when(~F.col("twice"), F.col("id"))).alias("ids"))
+    alone = checkpointed(told.where("NOT met").select(key, "part", F.explode("ids").alias("id")))
+    said = spoken(blocks)
+    near = near_matches(said.join(alone.select("id").distinct(), "id", "left_semi"), said).select("id").distinct()
+    piece = F.when(F.col("part") == QUOTED, "quoted").otherwise("signature").alias("piece")
+    return told.where("met").select(key, piece).unionByName(alone.join(near, "id", "left_semi").select(key, piece).distinct())
 
 
 @F.pandas_udf(StringType())
@@ -336,12 +430,19 @@ def _without(paragraphs: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def classified(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, quoted, signature, disclaimer, new_text): each non-null body's kinds of pieces, and what is left as newly written."""
+    """(key, quoted, signature, disclaimer, new_text): each non-null body's kinds of pieces, and what is left as newly written.
+
+    What has the form of history or of a signature is left out of the new text
+    whether or not a match is found.
+    """
     blocks = checkpointed(body_blocks(df, key, body))
-    notices = standing_notices(blocks.select(key, "signature", "marks"), key)
-    marks = blocks.select(key, F.explode("marks").alias("m")).select(key, F.array("m.no", "m.start", "m.end").alias("span"), F.col("m.folded").alias("folded"))
-    hits = marks.join(notices, "folded", "left_semi").groupBy(key).agg(F.collect_set("span").alias("spans"))
-    return blocks.join(hits, key, "left").select(key, "quoted", "signature", F.col("spans").isNotNull().alias("disclaimer"), _without("paragraphs", "spans").alias("new_text"))
+    marked = blocks.drop("paragraphs")
+    notices = standing_notices(marked, key)
+    marks = blocks.select(key, F.explode("marks").alias("m")).where(f"m.part = {OWN}").select(key, F.array("m.no", "m.start", "m.end").alias("span"), "m.id")
+    hits = marks.join(notices, "id", "left_semi").groupBy(key).agg(F.collect_set("span").alias("spans"))
+    kinds = inherited(marked, key).groupBy(key).agg(F.bool_or(F.col("piece") == "quoted").alias("q"), F.bool_or(F.col("piece") == "signature").alias("s"))
+    met = blocks.select(key, "paragraphs").join(hits, key, "left").join(kinds, key, "left")
+    return met.select(key, F.coalesce("q", F.lit(False)).alias("quoted"), F.coalesce("s", F.lit(False)).alias("signature"), F.col("spans").isNotNull().alias("disclaimer"), _without("paragraphs", "spans").alias("new_text"))
 
 
 def found_pieces(df: DataFrame, key: str, body: str) -> DataFrame:
@@ -352,6 +453,5 @@ def found_pieces(df: DataFrame, key: str, body: str) -> DataFrame:
     """
     blocks = checkpointed(body_blocks(df, key, body).drop("paragraphs"))
     notices = standing_notices(blocks, key)
-    by_form = blocks.select(key, F.explode(F.array_compact(F.array(F.when(F.col("quoted"), F.lit("quoted")), F.when(F.col("signature"), F.lit("signature"))))).alias("piece"))
-    standing = blocks.select(key, F.explode("marks").alias("m")).select(key, F.col("m.folded").alias("folded")).join(notices, "folded", "left_semi").select(key, F.lit("disclaimer").alias("piece")).distinct()
-    return by_form.unionByName(standing)
+    standing = blocks.select(key, F.explode("marks").alias("m")).where(f"m.part = {OWN}").select(key, "m.id").join(notices, "id", "left_semi").select(key, F.lit("disclaimer").alias("piece")).distinct()
+    return inherited(blocks, key).unionByName(standing)
