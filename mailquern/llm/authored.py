@@ -40,7 +40,7 @@ NOTICE = (
     r"құпия және тек|алушыға арналған|құпиялылық туралы ескерту:|таратуға тыйым|қателесіп алсаңыз|шығынға жауап бермейді",
 )
 _NOTICE = re.compile("|".join(NOTICE), re.I)
-_QUOTED = re.compile(r"^[ \t]*[>|](?:[ >|]|(?=\S))")
+_QUOTED = re.compile(r"^[ \t]*[>|](?:[ >|]|(?=\S)|$)")
 _INTRO = re.compile(rf"(?:^|[\s>(:]){WROTE}(?: on [\d/. ]+)?[ \t]*(?:[:：]|-{{2,}})?[ \t]*-*$", re.I)
 _FIELD = re.compile(rf"^[ \t]*\*?{FIELDS}[ \t]*:\*?", re.I)
 _FORWARD = re.compile(rf"^[ \t]*[-_=*]*[ \t]*{FORWARDED}[ \t]*:?[ \t]*[-_=*]*[ \t]*$", re.I)
@@ -435,14 +435,15 @@ def classified(df: DataFrame, key: str, body: str) -> DataFrame:
     What has the form of history or of a signature is left out of the new text
     whether or not a match is found.
     """
-    blocks = checkpointed(body_blocks(df, key, body))
+    src, named, key = df.select(F.col(key).alias("__key"), F.col(body).alias("body")), key, "__key"
+    blocks = checkpointed(body_blocks(src, key, "body"))
     marked = blocks.drop("paragraphs")
     notices = standing_notices(marked, key)
     marks = blocks.select(key, F.explode("marks").alias("m")).where(f"m.part = {OWN}").select(key, F.array("m.no", "m.start", "m.end").alias("span"), "m.id")
     hits = marks.join(notices, "id", "left_semi").groupBy(key).agg(F.collect_set("span").alias("spans"))
     kinds = inherited(marked, key).groupBy(key).agg(F.bool_or(F.col("piece") == "quoted").alias("q"), F.bool_or(F.col("piece") == "signature").alias("s"))
     met = blocks.select(key, "paragraphs").join(hits, key, "left").join(kinds, key, "left")
-    return met.select(key, F.coalesce("q", F.lit(False)).alias("quoted"), F.coalesce("s", F.lit(False)).alias("signature"), F.col("spans").isNotNull().alias("disclaimer"), _without("paragraphs", "spans").alias("new_text"))
+    return met.select(F.col(key).alias(named), F.coalesce("q", F.lit(False)).alias("quoted"), F.coalesce("s", F.lit(False)).alias("signature"), F.col("spans").isNotNull().alias("disclaimer"), _without("paragraphs", "spans").alias("new_text"))
 
 
 def found_pieces(df: DataFrame, key: str, body: str) -> DataFrame:
@@ -451,7 +452,8 @@ def found_pieces(df: DataFrame, key: str, body: str) -> DataFrame:
     Null and empty bodies hold none. The bodies are read once: what is told of
     them, without their text, is written and read again.
     """
-    blocks = checkpointed(body_blocks(df, key, body).drop("paragraphs"))
+    src, named, key = df.select(F.col(key).alias("__key"), F.col(body).alias("body")), key, "__key"
+    blocks = checkpointed(body_blocks(src, key, "body").drop("paragraphs"))
     notices = standing_notices(blocks, key)
     standing = blocks.select(key, F.explode("marks").alias("m")).where(f"m.part = {OWN}").select(key, "m.id").join(notices, "id", "left_semi").select(key, F.lit("disclaimer").alias("piece")).distinct()
-    return inherited(blocks, key).unionByName(standing)
+    return inherited(blocks, key).unionByName(standing).withColumnRenamed(key, named)
