@@ -200,6 +200,39 @@ def test_garbled(spark):
     assert garbled.find_garbled(d.limit(0), ["id"], "t").count() == 0
 
 
+GERMAN = [
+    "Die Prüfung für Bördenau läuft noch, bitte große Anhänge löschen", "Für die Rückgabe müssen Sie das Formular ausfüllen", "Über die Änderung können wir später in der Küche sprechen", "Grüße aus Köln schickt Ihnen die Bürgermeisterin",
+    "Die Bäume blühen schön, die Vögel hören wir täglich", "Möchten Sie die Rechnung überprüfen oder später zurückrufen", "Höhere Gebühren gelten für größere Pakete", "Der Schlüssel hängt hinter der Tür im Büro",
+    "Wir würden gerne früher ankommen, wenn es möglich wäre", "Das Mädchen trägt schöne Kleider und süße Äpfel", "Ungewöhnliche Geräusche stören die Gäste im Gebäude", "Zurückgeschickte Päckchen müssen geöffnet werden",
+]
+
+
+def test_readings_are_learned_from_twins(spark):
+    wrong = [x.encode().decode("cp1250", "replace") for x in GERMAN]
+    d = spark.createDataFrame([*enumerate(GERMAN * 3), *((100 + i, x) for i, x in enumerate(wrong))], "id long, t string")
+    got = {r.id: r.restored for r in garbled.find_garbled(d, ["id"], "t").collect()}
+    assert set(got) == {100 + i for i in range(12)}
+    assert sum(got[100 + i] == x for i, x in enumerate(GERMAN)) >= 10
+
+
+def test_a_reading_that_no_encoding_explains(spark):
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    made = str.maketrans(letters, "".join(chr(0x2800 + (i * 7) % 32) for i in range(32)))
+    words = "сумма письма не совпадает с тем что показывает сервис печати отправитель просит прислать код банка до конца недели ответит руководитель филиала города".split()
+    rng = random.Random(3)
+    clean = [" ".join(rng.choices(words, k=9)) + f" {i}" for i in range(900)]
+    d = spark.createDataFrame([*enumerate(clean), *((1000 + i, x.translate(made)) for i, x in enumerate(clean[:6])), (1201, None), (1202, "")], "id long, t string")
+    got = {r.id: r for r in garbled.find_garbled(d, ["id"], "t").collect()}
+    assert set(got) == set(range(1000, 1006))
+    assert [got[1000 + i].restored for i in range(6)] == clean[:6] and got[1000].undone[0].startswith("learned")
+
+
+@pytest.mark.parametrize("text", ["сумма письма", "naïve café", "x"])
+def test_twin_keys(text):
+    own, read = garbled.twin_keys(text)
+    assert read == garbled.twin_keys("".join(c if c.isascii() else c.encode().decode("latin-1") for c in text))[0]
+
+
 # 7
 
 
