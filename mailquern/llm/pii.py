@@ -1,12 +1,19 @@
 """Personal details in free text, found and replaced by placeholders of their kind.
 
-E-mail addresses, phone numbers, identity numbers and street addresses have a
-form. Names have none: a term counts as part of a name by what it discloses.
-The corpus is searched for places that hold a person (quoted sender names,
-introductions and header fields of earlier messages, salutations), and a term
-is disclosing if seeing it says, by its co-occurrence with such places, that a
-person is named. Two disclosing terms side by side, or an initial before one,
-are generalised to a placeholder.
+What counts as a detail is told by what it discloses in the corpus. A term
+discloses a person or a detail if seeing it says, by its co-occurrence with
+places that hold one, that one is there; the measure is the information between
+the two, in bits.
+
+* Names: places that hold a person are quoted sender names, introductions and
+  header fields of earlier messages, salutations. Two disclosing terms side by
+  side, or an initial before one, are generalised to a placeholder.
+* Numbers, e-mail and street addresses: nearly every one is unique, so the terms
+  are their shape (kind of prefix and number of digits, or kind of street) and
+  the word before them. Values in a known form are seeds; a word discloses a
+  kind if it stands before seeds of it, a shape if it stands behind such words.
+  A seed counts if its shape discloses, and a number of no known form if the
+  word before it does. The forms only say how such a value is written.
 """
 
 from __future__ import annotations
@@ -17,12 +24,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailquern.session import checkpointed
 
 from .authored import WROTE
-from .lookalike import _odd, _styles, shape
+from .lookalike import _odd, _styles, repair, shape
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 _STREET = r"(?:street|str\.|st\.|road|rd\.?|lane|close|avenue|ave\.?|drive|court|square|boulevard|way|terrace|place|crescent)"
@@ -43,13 +51,11 @@ FORMS = (
 )
 
 
-#: What a text must hold, in lower case, for the forms of a kind to be tried.
-_GUARDS = {
-    "email": ("@", "(at", "[at", "( at", "[ at"),
-    "id_number": tuple("0123456789"),
-    "phone": tuple("0123456789"),
-    "street_address": ("street", "str.", "st.", "road", "rd", "lane", "close", "avenue", "ave", "drive", "court", "square", "boulevard", "way", "terrace", "place", "crescent", "ул", "пр-т", "пр.", "просп", "пер", "мкр", "микрор", "б-р", "бульв", "наб", "шоссе", "пл", "көшесі", "даңғылы", "аудан", "тұйығы", "тас жолы"),
-}
+_STREETS = re.compile(rf"(?<!\w)(?:{_STREET}|ул\.|улица|пр-т|просп\.|проспект|пр\.|пер\.|переулок|мкр|микрорайон|б-р|бульвар|наб\.|набережная|шоссе|пл\.|площадь|көшесі|даңғылы|шағын ауданы|ықшамауданы|тұйығы|бульвары|тас жолы)(?!\w)", re.I)
+#: A number of no known form: seven to fifteen digits in groups, no date, clock or IP address.
+_NUMBER = re.compile(r"(?<![\w@./:+-])\(?\d[\d ().-]{5,}\d(?![\w@])")
+_NO_NUMBER = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}|\d\d?\.\d\d?\.\d{4}.*|\d{4}-\d\d-\d\d.*")
+_BEFORE = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
 
 
 def valid_iin(digits: str) -> bool:
@@ -77,44 +83,85 @@ def aligned(text: str) -> tuple[str, list[int] | None]:
 
 
 _TERM = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+(?:[’'-](?:[^\W\d_][̀-ͯ]*)+)*")
+#: A term that begins with a capital.
+_CAPITAL = regex.compile(r"(?<![\p{L}\p{M}]|[\p{L}\p{M}][’'-])\p{Lu}\p{M}*(?:\p{L}\p{M}*)*(?:[’'-](?:\p{L}\p{M}*)+)*")
 
 
 @lru_cache(200_000)
 def term_key(term: str) -> str:
-    return shape(term).lower()
-
-
-def details(text: str) -> list[tuple[str, int, int, str | None, str | None]]:
-    """(kind, start, end, term, term) of each detail by form, and of each pair of terms or initial and term that may be a name.
-
-    Details by form have no terms; of overlapping ones the first form stands.
-    Places are those of the original text.
-    """
-    clean, at = aligned(text)
-    found, taken = [], []
-    low = clean.lower()
-    tried = {kind for kind, marks in _GUARDS.items() if any(x in low for x in marks)}
+    """The form in which terms are compared: scripts repaired, in lower case, letters of one shape alike."""
+    return shape((repair(term) or term).lower())
+
+
+def _shape(kind: str, value: str) -> str:
+    """Kind, sort of prefix and number of digits, or kind of street or address: a few hundred shapes in all."""
+    if kind == "email":
+        return kind
+    if kind == "street_address":
+        m = _STREETS.search(value)
+        return f"{kind} {m.group().lower() if m else ''}"
+    head = next((c for c in value if c.isalnum() or c == "+"), "")
+    return f"{kind} {'+' if head == '+' else '8' if head == '8' else 'a' if head.isalpha() else '9'} {min(sum(map(str.isdigit, value)), 20)}"
+
+
+def _word_before(text: str, at: int) -> str:
+    m = _BEFORE.search(text, max(0, at - 60), at)
+    return term_key(m.group(1)) if m else "^"
+
+
+def seeds_and_numbers(clean: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each value in a known form, and of each other number with the kind ``number``; of overlapping ones the first form stands."""
+    found: list[tuple[str, int, int]] = []
+    digits_in = any(c in clean for c in "0123456789")
+    tried = {"email"} if "@" in clean or "at)" in clean.lower() or "at]" in clean.lower() or "at )" in clean.lower() or "at ]" in clean.lower() else set()
+    if digits_in:
+        tried |= {"id_number", "phone"}
+        if _STREETS.search(clean) is not None:
+            tried.add("street_address")
     for kind, form in FORMS:
         if kind not in tried:
             continue
         for m in form.finditer(clean):
-            a, b = m.span()
-            if any(x < b and a < y for x, y in taken):
+            a, b = m.span(m.lastindex or 0)  # the value without the word that announces it
+            if any(x < b and a < y for _, x, y in found):
                 continue
             digits = re.sub(r"\D", "", m.group())
             if kind == "id_number" and form is FORMS[1][1] and not valid_iin(digits):
                 continue
             if kind == "phone" and not 10 <= len(digits) <= 14:
                 continue
+            found.append((kind, a, b))
+    if digits_in:
+        for m in _NUMBER.finditer(clean):
+            a, b = m.span()
+            if 7 <= sum(map(str.isdigit, m.group())) <= 15 and not _NO_NUMBER.fullmatch(m.group()) and not any(x < b and a < y for _, x, y in found):
+                found.append(("number", a, b))
+    return found
+
+
+def details(text: str, shapes: frozenset[str] | None = None) -> list[tuple[str, int, int, str | None, str | None]]:
+    """(kind, start, end, term, term) of each detail, and of what may be one.
+
+    Seeds of a disclosing shape (of any, if ``shapes`` isn't given) have no terms.
+    Other numbers have the word before them as a term, pairs of capitalised
+    terms and initials with one the terms of a possible name. Places are those
+    of the original text.
+    """
+    clean, at = aligned(text)
+    found, taken = [], []
+    for kind, a, b in seeds_and_numbers(clean):
+        if kind == "number":
+            found.append((kind, a, b, None, "\x02" + _word_before(clean, a)))
+        elif shapes is None or _shape(kind, clean[a:b]) in shapes:
             taken.append((a, b))
             found.append((kind, a, b, None, None))
     last = None
-    for m in _TERM.finditer(clean):
+    for m in _CAPITAL.finditer(clean):
         t = m.group()
-        if not t[0].isupper() or any(x < m.end() and m.start() < y for x, y in taken):
+        if taken and any(x < m.end() and m.start() < y for x, y in taken):
             last = None
             continue
-        if last is not None:
+        if last is not None and m.start() - last.end() <= 2:
             gap = clean[last.end() : m.start()]
             one = last.group()
             if gap in (" ", ", ") and len(one) > 1 and len(t) > 1:
@@ -150,42 +197,61 @@ def _titled(t: str) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, seen = Counter(), Counter()
+    """(word, shape, kind, held, seen) summed in each task: terms of names have no shape, all words together none of these."""
+    held, seen, places, n_words = Counter(), Counter(), Counter(), 0
     for b in batches:
         raw: Counter = Counter()
         for t in b.column(0).to_pylist():
             clean, _ = aligned(t)
-            raw.update(m for m in _TERM.findall(clean) if m[0].isupper())
-            for line in clean.split("\n"):
-                if any(x in line for x in _MARKS):
-                    for p in PLACES:
-                        if (m := p.search(line)) and all(map(_titled, m.groups())):
-                            held.update(map(term_key, m.groups()))
+            n_words += clean.count(" ") + 1
+            raw.update(_CAPITAL.findall(clean))
+            if any(x in clean for x in _MARKS):
+                for line in clean.split("\n"):
+                    if any(x in line for x in _MARKS):
+                        for p in PLACES:
+                            if (m := p.search(line)) and all(map(_titled, m.groups())):
+                                held.update(map(term_key, m.groups()))
+            for kind, x, y in seeds_and_numbers(clean):
+                places[_word_before(clean, x), _shape(kind, clean[x:y]), kind] += 1
         for t, n in raw.items():
             seen[term_key(t)] += n
-    if seen:
-        terms = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[t] for t in terms], pa.int64()), pa.array([seen[t] for t in terms], pa.int64())], ["term", "held", "seen"])
-
-
-def disclosing_terms(texts: DataFrame, text: str, known: DataFrame | None = None, min_held: int = 2, min_bits: float = 2.0) -> DataFrame:
-    """(term, held, seen, bits): terms that disclose a person.
-
-    ``seen`` counts a term with a capital in all texts, ``held`` those in places
-    that hold a person, and ``bits`` is the information between the two: log2
-    of the term's share of such places over all terms' share. A term needs
-    ``min_held`` places and ``min_bits``. Terms of ``known`` (a column ``term``)
-    are the protected entities' own and always disclose. Counts cover all rows
-    and are summed in each task first; the sums, a row a term, are written once.
+    rows = [(t, None, "person_name", held[t], n) for t, n in seen.items()] + [(w, f, k, 0, n) for (w, f, k), n in places.items()] + [(None, None, None, 0, n_words)]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["word", "shape", "kind", "held", "seen"])
+
+
+def disclosing_terms(texts: DataFrame, text: str, known: DataFrame | None = None, min_held: int = 2, min_bits: float = 2.0, min_share: float = 0.5) -> tuple[DataFrame, frozenset[str]]:
+    """(term, kind, bits) of terms that disclose a person or the kind of the number behind them; and the disclosing shapes.
+
+    ``bits`` is the log2 of a term's share of places that hold the kind over
+    that of all words. Terms of names are counted with a capital in all texts
+    and need ``min_held`` places and ``min_bits``; terms of ``known`` (a column
+    ``term``) are the protected entities' own and always disclose. A word
+    discloses the kind of a number behind it if at least ``min_share`` of the
+    values behind it are seeds of the kind, too. A shape discloses by the words
+    it stands behind. Counts cover all rows and are summed in each task first;
+    the sums, a row a term, are written once. Only the shapes, a few hundred by
+    their definition, come to the driver.
     """
-    c = checkpointed(texts.where(F.col(text).isNotNull()).select(text).mapInArrow(_count, "term string, held long, seen long").groupBy("term").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen")))
-    overall = c.agg((F.sum("held") / F.sum("seen")).alias("overall"))
-    bits = F.log2(F.col("held") / F.col("seen") / F.col("overall"))
-    learned = c.join(F.broadcast(overall)).withColumn("bits", bits).where((F.col("held") >= min_held) & (F.col("bits") >= min_bits)).select("term", "held", "seen", "bits")
-    if known is None:
-        return learned
-    own = known.select(F.col("term")).where(F.length("term") > 1).distinct().select("term", F.lit(None).cast("long").alias("held"), F.lit(None).cast("long").alias("seen"), F.lit(None).cast("double").alias("bits"))
-    return learned.unionByName(own.join(learned, "term", "left_anti"))
+    c = checkpointed(texts.where(F.col(text).isNotNull()).select(text).mapInArrow(_count, "word string, shape string, kind string, held long, seen long").groupBy("word", "shape", "kind").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen")))
+    names = c.where("kind = 'person_name'")
+    overall = names.agg((F.sum("held") / F.sum("seen")).alias("overall"))
+    learned = names.join(F.broadcast(overall)).select(F.col("word").alias("term"), "kind", F.log2(F.col("held") / F.col("seen") / F.col("overall")).alias("bits"), "held").where((F.col("held") >= min_held) & (F.col("bits") >= min_bits)).drop("held")
+    values = c.where("shape IS NOT NULL")
+    n_words = c.where("kind IS NULL").agg(F.sum("seen").cast("double").alias("n_words"))
+    base = values.where("kind <> 'number'").groupBy("kind").agg(F.sum("seen").alias("n_kind")).join(F.broadcast(n_words)).select("kind", (F.col("n_kind") / F.col("n_words")).alias("base"))
+    before = values.groupBy("word").agg(F.sum("seen").alias("n"))
+    by_word = values.where("kind <> 'number'").groupBy("word", "kind").agg(F.sum("seen").alias("n_kind")).join(before, "word").join(F.broadcast(base), "kind")
+    words = by_word.select("word", "kind", (F.col("n_kind") / F.col("n")).alias("share"), F.log2(F.col("n_kind") / F.col("n") / F.col("base")).alias("bits"), "n_kind")
+    behind = values.where("kind <> 'number'").join(words.where(F.col("bits") >= min_bits).select("word", "kind", "share"), ["word", "kind"], "left")
+    shapes = behind.groupBy("shape", "kind").agg((F.sum(F.col("seen") * F.coalesce("share", F.lit(0.0))) / F.sum("seen")).alias("held")).join(F.broadcast(base), "kind").where(F.log2(F.col("held") / F.col("base")) >= min_bits)
+    numbers = words.where((F.col("bits") >= min_bits) & (F.col("share") >= min_share) & (F.col("n_kind") >= min_held) & F.col("kind").isin("phone", "id_number"))
+    numbers = numbers.groupBy("word").agg(F.max_by(F.struct("kind", "bits"), "share").alias("k")).select(F.concat(F.lit("\x02"), "word").alias("term"), "k.kind", "k.bits")
+    terms = learned.unionByName(numbers)
+    if known is not None:
+        own = known.select("term").where(F.length("term") > 1).distinct().select("term", F.lit("person_name").alias("kind"), F.lit(None).cast("double").alias("bits"))
+        terms = terms.unionByName(own.join(learned, "term", "left_anti"))
+    return terms, frozenset(r[0] for r in shapes.select("shape").collect())
 
 
 def known_terms(staff: DataFrame, *columns: str) -> DataFrame:
@@ -200,58 +266,85 @@ def known_terms(staff: DataFrame, *columns: str) -> DataFrame:
 
 
 SPAN = "array<struct<kind:string,a:int,b:int,x:string,y:string>>"
+_SPAN = {"kind": pa.string(), "a": pa.int32(), "b": pa.int32(), "x": pa.string(), "y": pa.string()}
+#: A term that many texts hold is met by so many tasks.
+SALTS = 16
 
 
-def _spans(keys: list[str]):
+def _spans(keys: list[str], shapes: frozenset[str] | None, placed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("x", pa.string()), ("y", pa.string())]))
         for b in batches:
-            spans = [[dict(zip(("kind", "a", "b", "x", "y"), d)) for d in details(t)] for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], [*keys, "text", "spans"])
+            rows, ends = [], [0]
+            for t in b.column(b.num_columns - 1).to_pylist():
+                d = details(t, shapes)
+                rows += d if placed else dict.fromkeys((k, 0, 0, x, y) for k, _, _, x, y in d)
+                ends.append(len(rows))
+            columns = list(zip(*rows)) if rows else [()] * len(_SPAN)
+            told = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _SPAN.values())], list(_SPAN))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *([b.column(b.num_columns - 1)] if placed else []), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told)], [*keys, *(["text"] if placed else []), "spans"])
 
     return run
 
 
-def located(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, text, spans): each non-null text with its details by form and its candidates for names."""
+def located(df: DataFrame, keys: list[str], text: str, shapes: frozenset[str] | None = None, placed: bool = True) -> DataFrame:
+    """(keys, text, spans): each non-null text with its details and what may be one; without places each kind and terms once, and no text."""
     src = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
-    return src.mapInArrow(_spans(keys), f"{fields}, spans {SPAN}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if placed or f.name != "text")
+    return src.mapInArrow(_spans(keys, shapes, placed), f"{fields}, spans {SPAN}")
 
 
 def confirmed(spans: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
-    """The details by form, and the candidates whose terms all disclose.
+    """(keep, s): the details, and what may be one and whose terms all disclose; a number gets the kind that its term discloses.
 
-    Terms meet by joins, so their number has no bound, and the texts are read
-    once. Details without a term get a key of their own that matches nothing,
-    so that they spread over the tasks.
+    Details need no join. The terms meet the rest by joins, so their number has
+    no bound; each term stands for ``SALTS`` keys, so that a common one spreads.
     """
     one = spans.select(*keep, F.explode("spans").alias("s"))
-    own = F.concat(F.lit("\x01"), F.xxhash64(*keep).cast("string"))
-    first, second = terms.select(F.col("term").alias("__x"), F.lit(True).alias("__dx")), terms.select(F.col("term").alias("__y"), F.lit(True).alias("__dy"))
-    met = one.withColumns({"__kx": F.coalesce("s.x", own), "__ky": F.coalesce("s.y", own)}).join(second, F.col("__ky") == F.col("__y"), "left")
-    met = met.where((F.col("s.kind") != "person_name") | F.col("__dy")).join(first, F.col("__kx") == F.col("__x"), "left")
-    return met.where((F.col("s.kind") != "person_name") | F.col("s.x").isNull() | F.col("__dx")).select(*keep, "s")
+    told = one.where(~F.col("s.kind").isin("person_name", "number"))
+    salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int")
+    salted = terms.select("term", "kind", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    second = salted.select(F.col("term").alias("__y"), F.col("kind").alias("__kind"), F.col("salt").alias("__salt"))
+    first = salted.where("kind = 'person_name'").select(F.col("term").alias("__x"), F.col("salt").alias("__salt"))
+    maybe = one.where(F.col("s.kind").isin("person_name", "number")).withColumn("__salt", salt)
+    met = maybe.withColumn("__y", F.col("s.y")).join(second, ["__y", "__salt"])
+    whole = met.where(F.col("s.x").isNotNull()).withColumn("__x", F.col("s.x")).join(first, ["__x", "__salt"], "left_semi")
+    kind = lambda d: d.select(*keep, F.col("s").withField("kind", F.col("__kind")).alias("s"))
+    return told.unionByName(kind(met.where(F.col("s.x").isNull()))).unionByName(kind(whole))
+
+
+def found_details(df: DataFrame, keys: list[str], text: str, terms: DataFrame, shapes: frozenset[str] | None = None) -> DataFrame:
+    """Distinct (keys, pii_kind): the kinds of details in each text. Null and empty texts have none."""
+    return confirmed(located(df, keys, text, shapes, placed=False), terms, *keys).select(*keys, F.col("s.kind").alias("pii_kind")).distinct()
 
 
-def found_details(df: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
-    """Distinct (keys, pii_kind): the kinds of details in each text. Null and empty texts have none."""
-    return confirmed(located(df, keys, text).drop("text"), terms, *keys).select(*keys, F.col("s.kind").alias("pii_kind")).distinct()
+def _redact(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, todo in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                done, at = [], 0
+                for s in sorted(todo or (), key=lambda s: (s["a"], s["b"], s["kind"])):
+                    if s["a"] >= at:
+                        done += [text[at : s["a"]], f"[{s['kind'].upper()}]"]
+                        at = s["b"]
+                out.append("".join([*done, text[at:]]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], [*keys, "redacted"])
+
+    return run
 
 
-def redacted(df: DataFrame, keys: list[str], text: str, terms: DataFrame) -> DataFrame:
+def redacted(df: DataFrame, keys: list[str], text: str, terms: DataFrame, shapes: frozenset[str] | None = None) -> DataFrame:
     """(keys, redacted): each non-null text with every detail replaced by ``[KIND]`` and all else untouched.
 
     Details that overlap are one, of the first one's kind. Repeated rows come
-    out repeated.
+    out repeated. Texts are read once and written with a number of their own;
+    only terms and places move to the joins, and a text moves again only if it
+    holds what may be a name or number.
     """
-    rows = located(df, keys, text).withColumn("__row", F.monotonically_increasing_id())
-    spans = confirmed(rows, terms, "__row", "text", *keys).groupBy("__row").agg(F.first("text").alias("text"), *(F.first(k).alias(k) for k in keys), F.array_sort(F.collect_list(F.struct("s.a", "s.b", "s.kind"))).alias("todo"))
-    step = lambda acc, s: F.when(s["a"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], _cut("text", acc["at"], s["a"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["b"].alias("at")))
-    done = F.aggregate("todo", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], _cut("text", acc["at"], F.lit(1 << 30))))
-    plain = rows.join(spans.select("__row"), "__row", "left_anti").select(*keys, F.col("text").alias("redacted"))
-    return spans.select(*keys, done.alias("redacted")).unionByName(plain)
-
-
-def _cut(text: str, start: Column, end: Column) -> Column:
-    return F.substr(F.col(text), start + 1, end - start)
+    rows = checkpointed(located(df, keys, text, shapes).withColumn("__row", F.monotonically_increasing_id()))
+    unsure = F.exists("spans", lambda s: s["kind"].isin("person_name", "number"))
+    spans = confirmed(rows.where(unsure).select("__row", "spans"), terms, "__row").groupBy("__row").agg(F.collect_list(F.struct("s.a", "s.b", "s.kind")).alias("todo"))
+    own = F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["kind"].alias("kind")))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keys)
+    met = rows.where(unsure).select(*keys, "text", "__row").join(spans, "__row", "left").select(*keys, "text", "todo").unionByName(rows.where(~unsure).select(*keys, "text", own.alias("todo")))
+    return met.mapInArrow(_redact(keys), f"{fields}redacted string")

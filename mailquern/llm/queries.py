@@ -232,8 +232,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     from .pii import disclosing_terms, found_details, known_terms
 
     texts = _personal_texts(spark, sf)
-    terms = disclosing_terms(texts, "text", known_terms(table(spark, sf, "staff"), "first_name", "last_name"))
-    return found_details(texts, ["field_name", "record_id"], "text", terms)
+    terms, shapes = disclosing_terms(texts, "text", known_terms(table(spark, sf, "staff"), "first_name", "last_name"))
+    return found_details(texts, ["field_name", "record_id"], "text", terms, shapes)
 
 
 @R.query("p7_redacted")
@@ -241,5 +241,5 @@ def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
     from .pii import disclosing_terms, known_terms, redacted
 
     texts = _personal_texts(spark, sf)
-    terms = disclosing_terms(texts, "text", known_terms(table(spark, sf, "staff"), "first_name", "last_name"))
-    return redacted(texts, ["field_name", "record_id"], "text", terms)
+    terms, shapes = disclosing_terms(texts, "text", known_terms(table(spark, sf, "staff"), "first_name", "last_name"))
+    return redacted(texts, ["field_name", "record_id"], "text", terms, shapes)

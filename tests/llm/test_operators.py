@@ -242,18 +242,37 @@ def test_twin_keys(text):
     ("at 42 Quarry Hill Road, now", ["street_address"]), ("Доставка: ул. Тобольная, дом 132, корпус 2.", ["street_address"]), ("Тобыл көшесі, 109 үй, 6 пәтер", ["street_address"]), ("rooms 15 to 99", []),
 ])
 def test_forms(text, kinds):
-    assert sorted(d[0] for d in pii.details(text) if d[0] != "person_name") == kinds
+    assert sorted(d[0] for d in pii.details(text) if d[0] not in ("person_name", "number")) == kinds
 
 
 def test_names_and_redaction(spark):
     t = [(i, f'"Anna Bergström" <a{i}@x.example>') for i in range(4)] + [(5, "Please loop in Bergström, Anna today."), (6, "Altyn Security wrote to A. Bergström."), (7, None), (8, ""), (9, "Аnna Bergström here"), (10, "Altyn Security is fine. Altyn pays."), (10, "Altyn Security is fine. Altyn pays.")]
     d = spark.createDataFrame(t, "id long, t string").withColumn("text", F.lit("clash")).select("id", F.col("t").alias("body"), "text")
-    terms = pii.disclosing_terms(d, "body", min_bits=0.1)
-    got = rows(pii.found_details(d, ["id"], "body", terms))
+    terms, shapes = pii.disclosing_terms(d, "body", min_bits=0.1)
+    got = rows(pii.found_details(d, ["id"], "body", terms, shapes))
     assert got == sorted([(i, k) for i in range(4) for k in ("email", "person_name")] + [(5, "person_name"), (6, "person_name"), (9, "person_name")])
-    red = dict(rows(pii.redacted(d, ["id"], "body", terms)))
+    red = dict(rows(pii.redacted(d, ["id"], "body", terms, shapes)))
     assert red[0] == '"[PERSON_NAME]" <[EMAIL]>' and red[5] == "Please loop in [PERSON_NAME] today." and red[9] == "[PERSON_NAME] here" and red[8] == "" and 7 not in red
-    assert pii.found_details(d.limit(0), ["id"], "body", terms).count() == 0
+    assert pii.found_details(d.limit(0), ["id"], "body", terms, shapes).count() == 0
+    none, no_shapes = pii.disclosing_terms(d.limit(0), "body")
+    assert none.count() == 0 and not no_shapes and pii.found_details(d, ["id"], "body", none, no_shapes).count() == 0  # nothing comes out by form alone
+
+
+@pytest.mark.parametrize("a,b", [("ЗАРИНА", "Зарина"), ("ТАМАРА", "Тамара"), ("HОNORA", "Honora"), ("Sаule", "SAULE")])
+def test_term_keys(a, b):
+    assert pii.term_key(a) == pii.term_key(b)
+
+
+def test_numbers_by_what_stands_before_them(spark):
+    filler = "The amount of this month is shown in the report of the desk and all of it is as planned for now "
+    told = [filler + f"Call +7 701 123 45 {k}." for k in range(10, 14)] + [filler + f"The passport N1315952{k} is here." for k in range(4)] + [filler + f"Invoice 20379937441{k} is paid" for k in range(4)]
+    probes = ["Call 555-867-5309 today", "Call (212) 555-0182 today", "passport 123456789", "passport 123-45-6789", "Invoice 5558675309", "Call 192.168.100.200 or 12.04.2024 10", "Total 555-867-5309"]
+    d = spark.createDataFrame([*enumerate(told), *((100 + i, t) for i, t in enumerate(probes))], "id long, body string")
+    terms, shapes = pii.disclosing_terms(d, "body")
+    got = [r for r in rows(pii.found_details(d, ["id"], "body", terms, shapes)) if r[0] >= 100]
+    assert got == [(100, "phone"), (101, "phone"), (102, "id_number"), (103, "id_number")]
+    red = dict(rows(pii.redacted(d, ["id"], "body", terms, shapes)))
+    assert red[100] == "Call [PHONE] today" and red[102] == "passport [ID_NUMBER]" and red[104] == "Invoice 5558675309"
 
 
 # 8
