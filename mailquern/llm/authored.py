@@ -40,6 +40,9 @@ NOTICE = (
     r"құпия және тек|алушыға арналған|құпиялылық туралы ескерту:|таратуға тыйым|қателесіп алсаңыз|шығынға жауап бермейді",
 )
 _NOTICE = re.compile("|".join(NOTICE), re.I)
+#: The plain beginnings of these wordings and of introductions: what a text without any can't hold.
+_NOTICE_STARTS = tuple(re.match(r"[^\[(?]+", x).group() for y in NOTICE for x in y.split("|"))
+_WROTE_STARTS = ("wrote", "пишет", "написал", "жазды")
 _QUOTED = re.compile(r"^[ \t]*[>|](?:[ >|]|(?=\S)|$)")
 _INTRO = re.compile(rf"(?:^|[\s>(:]){WROTE}(?: on [\d/. ]+)?[ \t]*(?:[:：]|-{{2,}})?[ \t]*-*$", re.I)
 _FIELD = re.compile(rf"^[ \t]*\*?{FIELDS}[ \t]*:\*?", re.I)
@@ -54,6 +57,12 @@ _NAME = re.compile(rf"^[ \t]*[/~*—–-]?[ \t]*(?:{_ONE},? {_ONE}|{_UPPER}\. ?{
 _CONTACT = re.compile(r"@|\+?\d[\d ().-]{8,}\d|\b(?:tel|phone|тел)\b", re.I)
 
 
+def _worded(text: str) -> bool:
+    """Whether a text has a notice's wording."""
+    low = text.lower()
+    return any(x in low for x in _NOTICE_STARTS) and bool(_NOTICE.search(text))
+
+
 def split_body(text: str) -> dict[str, list[str]]:
     """The lines of a body as new, quoted and signature; the new ones keep blank lines between paragraphs.
 
@@ -71,12 +80,12 @@ def split_body(text: str) -> dict[str, list[str]]:
 def _cut(text: str) -> tuple[list[str], list[bool], list[str]]:
     """A body's own lines, which of them sign it, and its quoted lines."""
     lines = plain(text).replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    n = len(lines)
+    n, low = len(lines), [x.lower() for x in lines]
     quoted = [bool(_QUOTED.match(x)) for x in lines]
     for i, x in enumerate(lines):
         if quoted[i]:
             continue
-        if _INTRO.search(x):
+        if any(w in low[i] for w in _WROTE_STARTS) and _INTRO.search(x):
             first = i  # an introduction may be folded over as many as three lines
             while first > 0 and i - first < 2 and lines[first - 1].strip() and not _opens(lines[first]) and not quoted[first - 1]:
                 first -= 1
@@ -119,7 +128,7 @@ def _signature(lines: list[str]) -> list[bool]:
             starts = starts and (i > 0 or len(rest) == 0 or bool(_CONTACT.search(" ".join(lines[k] for k in rest[:3])))) and not x.strip().endswith(",") and len(bare.split()) <= 4
         if starts:
             k = i
-            while k < n and (lines[k].strip() or k == i) and not (k > i and _NOTICE.search(lines[k])):
+            while k < n and (lines[k].strip() or k == i) and not (k > i and _worded(lines[k])):
                 out[k] = True
                 k += 1
     return out
@@ -133,12 +142,28 @@ def folded(text: str) -> str:
     return _FOLD.sub(" ", shape(plain(text)).lower()).strip()
 
 
-def simhash(text: str) -> int:
-    """A 64-bit fingerprint of a folded text's character 4-grams."""
-    grams = {text[i : i + 4] for i in range(max(1, len(text) - 3))}
-    h = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
-    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    return int(((bits.sum(0) * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit fingerprints of folded texts' character 4-grams, each gram as often as it occurs; a shorter text is one gram."""
+    padded = [t.ljust(4, "\0") for t in texts]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t in padded])
+    h = points.copy()
+    for k in range(1, 4):
+        h[:-k] += points[k:] * np.uint64(0x9E3779B97F4A7C15 >> 8 * k | 1)
+    for m, r in ((_M1, 30), (_M2, 27)):
+        h = (h ^ (h >> np.uint64(r))) * m
+    h ^= h >> np.uint64(31)
+    ends = np.cumsum(lengths)
+    whole = np.ones(len(h), bool)
+    for k in range(1, 4):
+        whole[ends - k] = False  # grams that would reach into the next text
+    n = lengths - 3
+    bits = np.unpackbits(h[whole].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0, dtype=np.int32)
+    return np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -238,7 +263,7 @@ class _Teller:
             if len(self.memo) > 200_000:
                 self.memo.clear()
             f = folded(line)
-            got = self.memo[line] = (_hash(f) if f else 0, bool(_NOTICE.search(line)), _hash(" ".join(shape(line).lower().split())), len(f))
+            got = self.memo[line] = (_hash(f) if f else 0, _worded(line), _hash(" ".join(shape(line).lower().split())), len(f))
             if f and got[0] not in self.said:
                 if len(self.said) > 1_000_000:
                     self.said.clear()
@@ -262,7 +287,7 @@ def _blocks(key: str):
             paragraphs.append(text)
             last = no == len(cut) - 1
             apart = after or last
-            beside = apart and (after or no > 0) and bool(_NOTICE.search(text))
+            beside = apart and (after or no > 0) and _worded(text)
             context, ends = longest, last and no > 0 and not is_signed
             for start, end in spans:
                 f, worded, exact, size = tell(text[start:end])
@@ -320,11 +345,9 @@ def body_blocks(df: DataFrame, key: str, body: str) -> DataFrame:
 
 @F.pandas_udf(LongType())
 def _simhash(a: pd.Series) -> pd.Series:
-    return a.map(lambda x: simhash(x) - (1 << 63)).astype("int64")
-
-
-#: Else the planner computes it again for each use, and before the sentences are made distinct.
-_simhash = _simhash.asNondeterministic()
+    texts = a.tolist()
+    parts = [simhashes(texts[i : i + 1000]).view(np.int64) for i in range(0, len(texts), 1000)]
+    return pd.Series(np.concatenate(parts) if parts else [], dtype="int64")
 
 
 @F.pandas_udf(BooleanType())
@@ -332,8 +355,8 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([distance_within(x, y, int(NEAR_SHARE * max(len(x), len(y)))) for x, y in zip(a, b)])
 
 
-def standing_notices(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFrame:
-    """(id): the sentences that belong to standing notices of law or company.
+def notice_seeds(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFrame:
+    """(id): sentences that belong to standing notices of law or company.
 
     A seed is told by what the whole corpus shows. One of these must hold:
 
@@ -350,8 +373,7 @@ def standing_notices(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFra
     * A notice's wording in it, and after the signature in each signed mail that
       holds it, be it one.
 
-    Any sentence near a seed is a notice, too. Distinct texts are compared, so a
-    notice in a third of all mails is one row.
+    Distinct texts are compared, so a notice in a third of all mails is one row.
     """
     share = blocks.agg(F.coalesce(F.avg(F.col("signature").cast("double")), F.lit(0.0)).alias("share"))
     p = blocks.select("signature", F.explode("marks").alias("m")).where(f"m.first AND m.part = {OWN}").select("signature", "m.*")
@@ -363,47 +385,44 @@ def standing_notices(blocks: DataFrame, key: str, min_mails: int = 3) -> DataFra
     rare = F.col("own") & (F.col("after") > 0) & (F.col("after") == F.col("signed"))
     told = exact.select("id", "mails", "worded", (behind | ends | rare).alias("told"))
     by_text = told.groupBy("id").agg(F.sum("mails").alias("mails"), F.sum("worded").alias("worded"), F.bool_or("told").alias("told"))
-    seeds = by_text.where(F.col("told") | (F.col("worded") >= min_mails) & (F.col("worded") >= 0.8 * F.col("mails"))).select("id")
-    said = spoken(blocks)
-    near = near_matches(said.join(seeds, "id", "left_semi"), said.join(p.select("id").distinct(), "id", "left_semi"))
-    return seeds.unionByName(near.select(F.col("other").alias("id"))).distinct()
-
-
-def spoken(blocks: DataFrame) -> DataFrame:
-    """(id, folded): the distinct sentences of all bodies."""
-    return blocks.select(F.explode("said").alias("s")).groupBy("s.id").agg(F.min("s.folded").alias("folded"))
+    return by_text.where(F.col("told") | (F.col("worded") >= min_mails) & (F.col("worded") >= 0.8 * F.col("mails"))).select("id")
 
 
 def near_matches(some: DataFrame, every: DataFrame) -> DataFrame:
-    """(id, other): for sentences of ``some`` (id, folded) each other one of ``every`` that is near it.
+    """(id, other): for sentences of ``some`` (id, folded, hash) each other one of ``every`` that is near it.
 
     Fingerprints share one of four parts of sixteen bits and differ in at most
     three bits; the edit distance is at most a tenth of the length.
     """
     part = F.posexplode(F.array(*(F.expr(f"shiftrightunsigned(hash, {64 // PARTS * i}) & {(1 << 64 // PARTS) - 1}") for i in range(PARTS)))).alias("part", "bits")
-    left = some.withColumn("hash", _simhash("folded")).select("id", F.col("folded").alias("one"), "hash", part)
-    right = every.withColumn("hash", _simhash("folded")).select(F.col("id").alias("other"), F.col("folded").alias("two"), F.col("hash").alias("theirs"), part)
+    left = some.select("id", F.col("folded").alias("one"), "hash", part)
+    right = every.select(F.col("id").alias("other"), F.col("folded").alias("two"), F.col("hash").alias("theirs"), part)
     close = left.join(right, ["part", "bits"]).where((F.col("id") != F.col("other")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("theirs"))) <= NEAR_BITS))
     pairs = close.groupBy("id", "other").agg(F.first("one").alias("one"), F.first("two").alias("two"))
     return pairs.where(_near("one", "two")).select("id", "other")
 
 
-def inherited(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, piece): blocks in the form of history or of a signature of which a sentence has a near-match in another mail.
+def resolved(blocks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, piece), (id)): inherited history and signatures, and the sentences of standing notices.
 
-    Equal sentences have equal fingerprints, so they are met by their hash;
-    copies of one mail are one mail. What is left without a match is looked up
-    in the tables.
+    A block in the form of history or of a signature counts if a sentence of it
+    has a near-match in another mail. Equal sentences have equal fingerprints,
+    so they are met by their hash; copies of one mail are one mail. What is left
+    without a match, and the seeds of notices, are looked up in the tables: any
+    sentence near a seed is a notice, too.
     """
     m = blocks.select(key, "whole", F.explode("marks").alias("m")).select(key, "whole", "m.id", "m.part")
     twice = m.groupBy("id").agg((F.min("whole") != F.max("whole")).alias("twice"))
     formed = m.where(F.col("part") != OWN).select(key, "id", "part").join(twice, "id")
-    told = formed.groupBy(key, "part").agg(F.bool_or("twice").alias("met"), F.collect_set(F.when(~F.col("twice"), F.col("id"))).alias("ids"))
-    alone = checkpointed(told.where("NOT met").select(key, "part", F.explode("ids").alias("id")))
-    said = spoken(blocks)
-    near = near_matches(said.join(alone.select("id").distinct(), "id", "left_semi"), said).select("id").distinct()
+    told = checkpointed(formed.groupBy(key, "part").agg(F.bool_or("twice").alias("met"), F.collect_set(F.when(~F.col("twice"), F.col("id"))).alias("ids")).select(key, "part", "met", F.when(~F.col("met"), F.col("ids")).alias("ids")))
+    alone = told.where("NOT met").select(key, "part", F.explode("ids").alias("id"))
+    seeds = checkpointed(notice_seeds(blocks, key))
+    every = checkpointed(blocks.select(F.explode("said").alias("s")).groupBy("s.id").agg(F.min("s.folded").alias("folded")).repartition("id").withColumn("hash", _simhash("folded")))
+    some = every.join(alone.select("id").unionByName(seeds).distinct(), "id", "left_semi")
+    near = checkpointed(near_matches(some, every))
     piece = F.when(F.col("part") == QUOTED, "quoted").otherwise("signature").alias("piece")
-    return told.where("met").select(key, piece).unionByName(alone.join(near, "id", "left_semi").select(key, piece).distinct())
+    pieces = told.where("met").select(key, piece).unionByName(alone.join(near, "id", "left_semi").select(key, piece).distinct())
+    return pieces, seeds.unionByName(near.join(seeds, "id", "left_semi").select(F.col("other").alias("id"))).distinct()
 
 
 @F.pandas_udf(StringType())
@@ -438,10 +457,10 @@ def classified(df: DataFrame, key: str, body: str) -> DataFrame:
     src, named, key = df.select(F.col(key).alias("__key"), F.col(body).alias("body")), key, "__key"
     blocks = checkpointed(body_blocks(src, key, "body"))
     marked = blocks.drop("paragraphs")
-    notices = standing_notices(marked, key)
+    pieces, notices = resolved(marked, key)
     marks = blocks.select(key, F.explode("marks").alias("m")).where(f"m.part = {OWN}").select(key, F.array("m.no", "m.start", "m.end").alias("span"), "m.id")
     hits = marks.join(notices, "id", "left_semi").groupBy(key).agg(F.collect_set("span").alias("spans"))
-    kinds = inherited(marked, key).groupBy(key).agg(F.bool_or(F.col("piece") == "quoted").alias("q"), F.bool_or(F.col("piece") == "signature").alias("s"))
+    kinds = pieces.groupBy(key).agg(F.bool_or(F.col("piece") == "quoted").alias("q"), F.bool_or(F.col("piece") == "signature").alias("s"))
     met = blocks.select(key, "paragraphs").join(hits, key, "left").join(kinds, key, "left")
     return met.select(F.col(key).alias(named), F.coalesce("q", F.lit(False)).alias("quoted"), F.coalesce("s", F.lit(False)).alias("signature"), F.col("spans").isNotNull().alias("disclaimer"), _without("paragraphs", "spans").alias("new_text"))
 
@@ -454,6 +473,6 @@ def found_pieces(df: DataFrame, key: str, body: str) -> DataFrame:
     """
     src, named, key = df.select(F.col(key).alias("__key"), F.col(body).alias("body")), key, "__key"
     blocks = checkpointed(body_blocks(src, key, "body").drop("paragraphs"))
-    notices = standing_notices(blocks, key)
+    pieces, notices = resolved(blocks, key)
     standing = blocks.select(key, F.explode("marks").alias("m")).where(f"m.part = {OWN}").select(key, "m.id").join(notices, "id", "left_semi").select(key, F.lit("disclaimer").alias("piece")).distinct()
-    return inherited(blocks, key).unionByName(standing).withColumnRenamed(key, named)
+    return pieces.unionByName(standing).withColumnRenamed(key, named)

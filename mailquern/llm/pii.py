@@ -52,6 +52,11 @@ FORMS = (
 
 
 _STREETS = re.compile(rf"(?<!\w)(?:{_STREET}|ул\.|улица|пр-т|просп\.|проспект|пр\.|пер\.|переулок|мкр|микрорайон|б-р|бульвар|наб\.|набережная|шоссе|пл\.|площадь|көшесі|даңғылы|шағын ауданы|ықшамауданы|тұйығы|бульвары|тас жолы)(?!\w)", re.I)
+#: What a text must hold for these to be looked for.
+_STREET_MARKS = (" street", " str.", " st.", " road", " rd", " lane", " close", " avenue", " ave", " drive", " court", " square", " boulevard", " way", " terrace", " place", " crescent", "ул.", "улица", "пр-т", "просп", "пр.", "пер.", "переулок", "мкр", "микрор", "б-р", "бульв", "наб.", "набереж", "шоссе", "пл.", "площадь", "көшесі", "даңғылы", "аудан", "тұйығы", "тас жолы")
+_AT_MARKS = ("@", "(at", "[at", "( at", "[ at")
+_AT = re.compile(r"@|[ ]?[(\[] ?at ?[)\]][ ]?")
+_LONG = re.compile(r"\d[\d ().-]{5,}\d")
 #: A number of no known form: seven to fifteen digits in groups, no date, clock or IP address.
 _NUMBER = re.compile(r"(?<![\w@./:+-])\(?\d[\d ().-]{5,}\d(?![\w@])")
 _NO_NUMBER = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}|\d\d?\.\d\d?\.\d{4}.*|\d{4}-\d\d-\d\d.*")
@@ -112,12 +117,22 @@ def _word_before(text: str, at: int) -> str:
 def seeds_and_numbers(clean: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each value in a known form, and of each other number with the kind ``number``; of overlapping ones the first form stands."""
     found: list[tuple[str, int, int]] = []
-    digits_in = any(c in clean for c in "0123456789")
-    tried = {"email"} if "@" in clean or "at)" in clean.lower() or "at]" in clean.lower() or "at )" in clean.lower() or "at ]" in clean.lower() else set()
-    if digits_in:
+    tried = set()
+    numbers = [m for m in _LONG.finditer(clean) if sum(map(str.isdigit, m.group())) >= 7]
+    if numbers:
         tried |= {"id_number", "phone"}
-        if _STREETS.search(clean) is not None:
-            tried.add("street_address")
+    low = clean.lower()
+    if any(x in low for x in _STREET_MARKS) and _STREETS.search(clean) is not None:
+        tried.add("street_address")
+    if any(x in low for x in _AT_MARKS):
+        for m in _AT.finditer(low):
+            a = m.start()
+            while a > 0 and (clean[a - 1].isalnum() or clean[a - 1] in "_.+%-"):
+                a -= 1
+            a -= 7 if low.startswith("mailto:", a - 7) else 0
+            got = FORMS[0][1].match(clean, a)
+            if got and not any(x < got.end() and a < y for _, x, y in found):
+                found.append(("email", a, got.end()))
     for kind, form in FORMS:
         if kind not in tried:
             continue
@@ -131,7 +146,7 @@ def seeds_and_numbers(clean: str) -> list[tuple[str, int, int]]:
             if kind == "phone" and not 10 <= len(digits) <= 14:
                 continue
             found.append((kind, a, b))
-    if digits_in:
+    if numbers:
         for m in _NUMBER.finditer(clean):
             a, b = m.span()
             if 7 <= sum(map(str.isdigit, m.group())) <= 15 and not _NO_NUMBER.fullmatch(m.group()) and not any(x < b and a < y for _, x, y in found):
@@ -313,8 +328,11 @@ def confirmed(spans: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
 
 
 def found_details(df: DataFrame, keys: list[str], text: str, terms: DataFrame, shapes: frozenset[str] | None = None) -> DataFrame:
-    """Distinct (keys, pii_kind): the kinds of details in each text. Null and empty texts have none."""
-    return confirmed(located(df, keys, text, shapes, placed=False), terms, *keys).select(*keys, F.col("s.kind").alias("pii_kind")).distinct()
+    """Distinct (keys, pii_kind): the kinds of details in each text. Null and empty texts have none.
+
+    The texts are read once: the kinds and terms in them are written and read again.
+    """
+    return confirmed(checkpointed(located(df, keys, text, shapes, placed=False)), terms, *keys).select(*keys, F.col("s.kind").alias("pii_kind")).distinct()
 
 
 def _redact(keys: list[str]):
