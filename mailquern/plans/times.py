@@ -11,8 +11,7 @@ from mailquern.tables import table
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     orgs, hosts = table(spark, sf, "orgs"), table(spark, sf, "mail_hosts")
-    zones = T.zone_names((orgs, "tz_name"), (hosts, "tz_name"))
-    return T.normalised_submissions(table(spark, sf, "submissions"), orgs, zones), T.normalised_hops(table(spark, sf, "received_hops"), hosts, zones)
+    return T.normalised_submissions(table(spark, sf, "submissions"), orgs), T.normalised_hops(table(spark, sf, "received_hops"), hosts)
 
 
 @R.query("p4_found")

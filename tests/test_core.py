@@ -176,13 +176,13 @@ def test_instants_and_zones(spark):
     made += [("gap", "o1", "2024-03-10 02:30:00", base.replace(tzinfo=None)), ("twice", "o1", "2024-11-03 01:30:00", base.replace(tzinfo=None)), ("none", "o1", "n/a", None), (None, "o1", "x", None), ("s0", *made[0][1:])]
     subs = spark.createDataFrame(made, "submission_id string, org_id string, received_at string, created_at timestamp_ntz")
     orgs = spark.createDataFrame([], "org_id string, tz_name string")
-    got = {r.submission_id: r for r in TS.normalised_submissions(subs, orgs, ["Europe/Berlin", "America/New_York", "UTC"]).collect()}
+    got = {r.submission_id: r for r in TS.normalised_submissions(subs, orgs).collect()}
     assert len(got) == 63 and got["gap"].meant == [] and len(got["twice"].meant) == 2 and got["none"].meant is None
     assert all(int((base + timedelta(hours=i)).timestamp()) in got[f"s{i}"].meant for i in range(60))
     wrong = spark.createDataFrame([("o1", "Asia/Tashkent")], "org_id string, tz_name string")
-    again = TS.normalised_submissions(subs, wrong, ["America/New_York", "Asia/Tashkent"]).where("submission_id = 's5'").first()
+    again = TS.normalised_submissions(subs, wrong).where("submission_id = 's5'").first()
     assert int((base + timedelta(hours=5)).timestamp()) in again.meant
-    empty = TS.normalised_submissions(subs.limit(0), orgs, ["UTC"])
+    empty = TS.normalised_submissions(subs.limit(0), orgs)
     assert empty.count() == 0
 
 
@@ -288,3 +288,39 @@ def test_all_keywords_are_matched(spark, monkeypatch):
     got = sorted((r.k, r.name, r.score) for r in B.match_texts(texts, "k", "t", brands).collect())
     assert got == [(i, w, 0.5) for i, w in enumerate("amber birch cedar delta ember".split())]
     assert B.match_texts(texts, "k", "t", brands.limit(0)).count() == 0
+
+
+def test_offset_histories():
+    edges, offsets, names = TS.offset_histories()
+    at = lambda zone, t: int(offsets[next(i for i, n in enumerate(names) if zone in n), max(0, edges.searchsorted(t, side="right") - 1)])
+    assert at("Europe/Berlin", 1_711_846_799) == 4 and at("Europe/Berlin", 1_711_846_800) == 8  # 31 March 2024, 01:00 UTC
+    assert at("Asia/Kathmandu", 1_700_000_000) == 23 and at("UTC", 0) == 0
+
+
+@pytest.mark.parametrize("declared,expected", [("Europe/Berlin", "Europe/Berlin"), (None, None), ("Asia/Tokyo", None), ("Not/AZone", None)])
+def test_estimation_decides(spark, declared, expected):
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    start = datetime(2024, 1, 1, tzinfo=ZoneInfo("UTC"))
+    rows = []
+    for k in range(366):
+        u = start + timedelta(days=k, hours=5)
+        clock = u.astimezone(ZoneInfo("Europe/Berlin")).replace(tzinfo=ZoneInfo("UTC"))
+        rows.append(("h", int(clock.timestamp()), int(u.timestamp()) + 30, 60, 900))
+    rows += [("h", 5, 99999999, 60, 900), (None, 5, 5, 60, 900), ("few", 5, 5, 60, 900)]
+    spoken = spark.createDataFrame(rows, "group string, secs long, aligned long, early int, late int")
+    told = spark.createDataFrame([("h", declared), ("few", "Asia/Almaty"), ("silent", "UTC"), (None, "UTC")], "host string, tz string")
+    got = {r.group: r.zone for r in TS.estimate_zones(spoken, told).collect()}
+    assert set(got) == {"h", "few", "silent"} and got["few"] == "Asia/Almaty" and got["silent"] == "UTC"
+    z = ZoneInfo(got["h"])
+    assert expected is None or got["h"] == expected
+    assert all((start + timedelta(hours=5 * k)).astimezone(z).utcoffset() == (start + timedelta(hours=5 * k)).astimezone(ZoneInfo("Europe/Berlin")).utcoffset() for k in range(1750))
+
+
+def test_hops_without_zones_go_by_sequence(spark):
+    hops = [(i * 2, f"s{i}", 2, "known", f"2024-05-{1 + i % 28:02d}T10:00:00Z", None) for i in range(40)] + [(i * 2 + 1, f"s{i}", 1, "silent", f"2024-05-{1 + i % 28:02d} 15:03:00", None) for i in range(40)]
+    d = spark.createDataFrame(hops, "hop_id long, submission_id string, hop_no int, by_host string, hop_ts string, hop_raw string")
+    hosts = spark.createDataFrame([("silent", None)], "host_name string, tz_name string")
+    got = {r.hop_id: r.noted_meant for r in TS.normalised_hops(d, hosts).collect()}
+    assert all(got[i * 2 + 1][0] - got[i * 2][0] == 180 for i in range(40))
