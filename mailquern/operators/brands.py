@@ -156,26 +156,57 @@ def logo_score(a: Column, b: Column) -> Column:
     return F.when(d <= 8, 1 - d / 64.0)
 
 
-def with_brand(mail: DataFrame, brands: DataFrame) -> DataFrame:
-    """``mail`` with ``brand``, ``sender_brand``, ``link_brands`` and ``own_domains``.
+def shown_brands(mail: DataFrame, brands: DataFrame) -> DataFrame:
+    """(msg_id, brand, sender_brand, link_brands, own_domains) of the mails that show one.
 
     The brand is that of the sender's domain, else of the first link that
-    imitates one, else of the keywords. Distinct hosts are matched once, and one
-    join and one aggregate by message bring the results back; bodies stay where
-    they are but for the keywords.
+    imitates one, else of a logo, else of the keywords, where a colour of the
+    brand in an image adds to the score. Distinct hosts are matched once; bodies
+    are read for the keywords only.
     """
     every = F.concat(F.array("from.domain"), F.transform("links", lambda x: x["domain"]))
     hosts = mail.select("msg_id", F.posexplode(every).alias("at", "host")).where("host IS NOT NULL AND host <> ''").groupBy("msg_id", "host").agg(F.min("at").alias("at"), F.max("at").alias("last"))
     m = match_hosts(hosts, brands)
     hit = F.struct("name", "locale", "method", "score", "official")
-    alike = F.when((F.col("last") > 0) & ~F.col("official"), F.struct(F.greatest("at", F.lit(1)).alias("at"), "host", "score", hit.alias("hit")))
+    alike = F.when((F.col("last") > 0) & ~F.col("official"), F.struct(F.greatest("at", F.lit(1)).alias("at"), "host", "score", F.struct("name", "locale", F.concat(F.lit("link_"), "method").alias("method"), "score", "official").alias("hit")))
     met = hosts.join(m, "host").groupBy("msg_id").agg(F.max(F.when(F.col("at") == 0, hit)).alias("by_sender"), F.array_sort(F.collect_list(alike)).alias("alike"))
     words = match_texts(mail.select("msg_id", F.concat_ws("\n", "subject", "text_body").alias("t")), "msg_id", "t", brands)
     words = words.select("msg_id", F.struct("name", "locale", F.lit("keyword").alias("method"), "score", F.lit(False).alias("official")).alias("by_word"))
     own = brands.select(F.col("name").alias("__name"), F.concat("domains", F.coalesce("esp_domains", F.array().cast("array<string>"))).alias("own_domains")).dropDuplicates(["__name"])
-    d = mail.drop("brand").join(met, "msg_id", "left").join(words, "msg_id", "left")
-    d = d.withColumns({
-        "brand": F.coalesce("by_sender", F.get("alike", F.lit(0))["hit"], "by_word"), "sender_brand": F.struct(F.col("by_sender.name").alias("name"), F.col("by_sender.official").alias("official"), F.col("by_sender.score").alias("score")),
-        "link_brands": F.transform("alike", lambda x: F.struct(x["host"].alias("host"), x["score"].alias("score"))),
-    })
-    return d.join(own, F.col("brand.name") == F.col("__name"), "left").drop("__name", "by_sender", "alike", "by_word")
+    d = met.join(match_logos(mail, brands), "msg_id", "full").join(words, "msg_id", "full")
+    d = d.select(
+        "msg_id", F.coalesce("by_sender", F.get("alike", F.lit(0))["hit"], "by_logo", "by_word").alias("brand"), F.struct(F.col("by_sender.name").alias("name"), F.col("by_sender.official").alias("official"), F.col("by_sender.score").alias("score")).alias("sender_brand"),
+        F.transform("alike", lambda x: F.struct(x["host"].alias("host"), x["score"].alias("score"))).alias("link_brands"),
+    )
+    return d.join(own, F.col("brand.name") == F.col("__name"), "left").drop("__name")
+
+
+def match_logos(mail: DataFrame, brands: DataFrame) -> DataFrame:
+    """(msg_id, by_logo): the brand whose logo an image is nearest, within eight bits; else whose colours one has, within the distance allowed.
+
+    Eight differing bits leave one of nine parts of a hash alike, so distinct
+    hashes meet by parts and no hash is compared with every brand.
+    """
+    images = mail.select("msg_id", F.explode("images").alias("i")).select("msg_id", F.col("i.phash").alias("phash"), F.col("i.colors").alias("colors"))
+    cuts = [64 * k // 9 for k in range(10)]
+    parts = lambda h: F.posexplode(F.array(*(F.expr(f"shiftrightunsigned({h}, {a}) & {(1 << (z - a)) - 1}") for a, z in zip(cuts, cuts[1:])))).alias("part", "bits")
+    logos = brands.where("logo_phash IS NOT NULL").select("name", "locale", "load_order", "logo_phash", parts("logo_phash"))
+    hashes = images.where("phash IS NOT NULL").select("phash").distinct().select("phash", parts("phash"))
+    near = hashes.join(logos, ["part", "bits"]).withColumn("score", logo_score(F.col("phash"), F.col("logo_phash"))).where("score IS NOT NULL").groupBy("phash").agg(F.max(F.struct("score", (-F.col("load_order")).alias("o"), "name", "locale")).alias("b"))
+    by_hash = images.join(near, "phash").select("msg_id", F.struct(F.lit(2).alias("rank"), F.col("b.score").alias("score"), F.col("b.o").alias("o"), F.col("b.name").alias("name"), F.col("b.locale").alias("locale"), F.lit("logo").alias("method")).alias("m"))
+    own = brands.select("name", "locale", "load_order", F.explode("colors").alias("own"))
+    tints = images.select(F.explode("colors").alias("color")).where("color IS NOT NULL").distinct()
+    # colours within 70 of each other are in the same or neighbouring cubes of 70 a side
+    cube = lambda c, i: F.floor(F.conv(F.substring(F.ltrim(F.col(c), F.lit("#")), i, 2), 16, 10).cast("int") / 70)
+    around = lambda c, i: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: cube(c, i) + k))
+    spread = own.withColumn("r", around("own", 1)).withColumn("g", around("own", 3)).withColumn("b", around("own", 5))
+    like = tints.select("color", cube("color", 1).alias("r"), cube("color", 3).alias("g"), cube("color", 5).alias("b")).join(spread, ["r", "g", "b"]).withColumn("score", color_score(F.col("color"), F.col("own"))).where("score IS NOT NULL")
+    best = like.groupBy("color").agg(F.max(F.struct("score", (-F.col("load_order")).alias("o"), "name", "locale")).alias("b"))
+    by_color = images.select("msg_id", F.explode("colors").alias("color")).join(best, "color").select("msg_id", F.struct(F.lit(1).alias("rank"), F.col("b.score").alias("score"), F.col("b.o").alias("o"), F.col("b.name").alias("name"), F.col("b.locale").alias("locale"), F.lit("color").alias("method")).alias("m"))
+    top = by_hash.unionByName(by_color).groupBy("msg_id").agg(F.max("m").alias("m"))
+    return top.select("msg_id", F.struct("m.name", "m.locale", "m.method", "m.score", F.lit(False).alias("official")).alias("by_logo"))
+
+
+def with_brand(mail: DataFrame, brands: DataFrame) -> DataFrame:
+    """``mail`` with the columns of ``shown_brands``."""
+    return mail.drop("brand").join(shown_brands(mail, brands), "msg_id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailquern.functions.hosts import canonical_host, distinct_hosts, registrable_domain, url_host
+from mailquern.model import OPINION
 
 
 def candidates(mail: DataFrame) -> DataFrame:
@@ -64,31 +65,40 @@ def registration_dates(responses: DataFrame) -> DataFrame:
 
 
 def with_lookups(mail: DataFrame, **tables: DataFrame) -> DataFrame:
-    """``mail`` with the lookup columns of the tables given: lists, feeds, dns, registrations, hashes, logins, brands.
+    """``mail`` with the lookup columns of the tables given: lists, feeds, dns, registrations, hashes, logins, opinions, brands.
 
-    Each lookup is made of distinct keys and joined on the message, so that
-    bodies don't move with them.
+    Each lookup is made of the few columns it needs and joined to the message
+    ids alone; the records themselves, with their bodies, meet the result in one
+    join at the end. Message ids are unique.
     """
-    d = mail
+    found = []
     if "lists" in tables:
-        d = d.join(list_hits(mail, tables["lists"]), "msg_id", "left")
+        found.append(list_hits(mail, tables["lists"]))
     if "feeds" in tables:
-        d = d.join(listed_domains(mail, tables["feeds"]), "msg_id", "left")
+        found.append(listed_domains(mail, tables["feeds"]))
     if "dns" in tables:
-        d = d.join(listed_ips(mail, tables["dns"]), "msg_id", "left")
+        found.append(listed_ips(mail, tables["dns"]))
     if "registrations" in tables:
         r = tables["registrations"].select(F.col("domain").alias("__domain"), "registered_at")
-        d = d.join(r, registrable_domain(F.col("from.domain")) == F.col("__domain"), "left").drop("__domain")
+        own = mail.select("msg_id", registrable_domain(F.col("from.domain")).alias("__domain")).where(F.col("__domain").isNotNull())
+        found.append(own.join(r, "__domain").select("msg_id", "registered_at"))
     if "hashes" in tables:
         bad = tables["hashes"].where("malicious > 0 OR suspicious > 0").select("sha256").distinct()
         own = mail.select("msg_id", F.explode(F.transform("attachments", lambda x: x["sha256"])).alias("sha256")).join(bad, "sha256")
-        d = d.join(own.groupBy("msg_id").agg(F.collect_set("sha256").alias("listed_hashes")), "msg_id", "left")
+        found.append(own.groupBy("msg_id").agg(F.collect_set("sha256").alias("listed_hashes")))
     if "logins" in tables:
         forms = tables["logins"].where("has_login_form").select(F.col("url").alias("href")).distinct()
         own = mail.select("msg_id", F.posexplode(F.transform("links", lambda x: x["href"])).alias("at", "href")).join(forms, "href")
-        d = d.join(own.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "href"))), lambda x: x["href"]).alias("login_forms")), "msg_id", "left")
+        found.append(own.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "href"))), lambda x: x["href"]).alias("login_forms")))
+    if "opinions" in tables:
+        found.append(tables["opinions"].select("msg_id", F.col("llm").cast(OPINION).alias("llm")))
     if "brands" in tables:
-        from mailquern.operators.brands import with_brand
-
-        d = with_brand(d, tables["brands"])
-    return d
+        from mailquern.operators.brands import shown_brands
+
+        found.append(shown_brands(mail, tables["brands"]))
+    if not found:
+        return mail
+    narrow = found[0]
+    for other in found[1:]:
+        narrow = narrow.join(other, "msg_id", "full")
+    return mail.drop(*(c for c in narrow.columns if c != "msg_id")).join(narrow, "msg_id", "left")

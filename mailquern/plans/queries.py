@@ -9,6 +9,7 @@ from mailquern.functions import hosts as H, text as T
 from mailquern.operators import analytics as A, brands as B, checks as C, evaluate as E, export as X, lookups as L, opinions as O, score as S
 from mailquern.plans import views as V
 from mailquern.registry import Registry
+from mailquern.session import checkpointed
 from mailquern.tables import table
 
 R = Registry()
@@ -140,25 +141,98 @@ _CHECK_SQL["content.kz_identifier"] = _one(f"len({_IDS}) > 0", "0.7")
 _CHANGE = f"regexp_matches(norm, '(?i){refdata.PATTERNS['bank_change']}')"
 _CHECK_SQL["content.finance_request"] = _one(f"{_CHANGE} OR {_kw('finance', 4)} >= 2", f"CASE WHEN {_CHANGE} THEN 1.0 ELSE least(1.0, {_DENS(_kw('finance', 4))} * 0.8 + CASE WHEN len({_IDS}) > 0 THEN 0.15 ELSE 0.0 END) END")
 
+_RD = V.registrable_sql("from_domain")
+_CHECK_SQL["header.returnpath_mismatch"] = f"WITH {W}, b AS (SELECT submission_id, nullif(lower(trim(arg_min(addr_domain, addr_id))), '') AS back FROM addresses WHERE addr_role = 'return_path' AND submission_id IS NOT NULL GROUP BY 1) SELECT msg_id, CAST(0.7 AS DOUBLE) AS confidence FROM mail JOIN b USING (submission_id) WHERE from_domain <> '' AND back <> '' AND NOT {_REG('from_domain', 'back')}"
+_TIMES = f"t AS (SELECT submission_id, last(TRY_CAST(hop_ts AS TIMESTAMPTZ) ORDER BY hop_no, hop_id) AS first_hop FROM (SELECT DISTINCT ON (hop_id) * FROM received_hops) WHERE submission_id IS NOT NULL AND regexp_matches(hop_ts, '{V.ISO}') AND TRY_CAST(hop_ts AS TIMESTAMPTZ) IS NOT NULL GROUP BY 1)"
+_CHECK_SQL["header.date_skew"] = f"WITH {W}, {_TIMES}, d AS (SELECT msg_id, first_hop, TRY_CAST(mail_date AS TIMESTAMPTZ) AS sent FROM mail LEFT JOIN t USING (submission_id)) SELECT msg_id, CAST(0.7 AS DOUBLE) AS confidence FROM d WHERE coalesce(abs(floor(epoch(sent)) - floor(epoch(first_hop))) > 86400, epoch(sent) >= epoch(TIMESTAMPTZ '{V.AS_OF}+00') + 86400)"
+_LISTED_IPS = f"WITH {W}, b AS (SELECT DISTINCT submission_id FROM received_hops WHERE hop_id IS NOT NULL AND regexp_matches(ip, '^[0-9.]*[02468]$')) SELECT msg_id, CAST(0.9 AS DOUBLE) AS confidence FROM mail WHERE submission_id IN (SELECT submission_id FROM b WHERE submission_id IS NOT NULL)"
+_CHECK_SQL |= {"header.received_ip_listed": _LISTED_IPS, "reputation.ip_listed": _LISTED_IPS}
+_CHECK_SQL["reputation.domain_age"] = _one(f"regexp_matches(md5({_RD}), '^[0-3]')", "0.9")
+_FEED = r"feed AS (SELECT lower(trim(ioc_value)) AS host FROM iocs WHERE ioc_kind = 'domain' AND ioc_value IS NOT NULL GROUP BY 1 HAVING count(DISTINCT org_id) >= 2)"
+_LH = "list_transform(links, lambda l: lower(l.host))"
+_VALUES = f"v AS (SELECT msg_id, unnest(list_distinct(list_filter(list_concat([addr, from_domain, {_RD}, reply_addr, reply_domain, {V.registrable_sql('reply_domain')}], {_LH}, list_transform({_LH}, lambda h: {V.registrable_sql('h')})), lambda x: x IS NOT NULL AND x <> ''))) AS value FROM mail)"
+_BLOCKED = f"{_FEED}, {_VALUES}, blocked AS (SELECT DISTINCT msg_id FROM v JOIN feed ON value = regexp_replace(host, '\\.+$', ''))"
+_CHECK_SQL["reputation.org_blocklist"] = f"WITH {W}, {_BLOCKED} SELECT msg_id, CAST(1.0 AS DOUBLE) AS confidence FROM blocked"
+_CHECK_SQL["reputation.org_allowlist"] = f"WITH {W}, {_BLOCKED} SELECT msg_id, CAST(1.0 AS DOUBLE) AS confidence FROM mail WHERE msg_id NOT IN (SELECT msg_id FROM blocked) AND (from_domain IN (SELECT lower(domain_name) FROM known_domains WHERE domain_name IS NOT NULL) OR {_RD} IN (SELECT lower(domain_name) FROM known_domains WHERE domain_name IS NOT NULL))"
+_CHECK_SQL["reputation.domain_listed"] = f"WITH {W}, {_FEED}, h AS (SELECT msg_id, unnest(list_distinct(list_filter(list_concat([from_domain], {_LH}), lambda x: x IS NOT NULL AND x <> ''))) AS host FROM mail) SELECT msg_id, CAST(1.0 AS DOUBLE) AS confidence FROM h JOIN feed USING (host)"
+_CHECK_SQL["attachment.virustotal"] = f"WITH {W}, e AS (SELECT DISTINCT submission_id, lower(trim(h)) AS sha FROM (SELECT submission_id, unnest(attachment_sha256) AS h FROM notify_events WHERE submission_id IS NOT NULL) WHERE h IS NOT NULL) SELECT msg_id, CAST(0.95 AS DOUBLE) AS confidence FROM mail JOIN e USING (submission_id) WHERE sha IN (SELECT lower(trim(ioc_value)) FROM iocs WHERE ioc_kind = 'sha256' AND ioc_value IS NOT NULL)"
+_CHECK_SQL["link.login_form"] = f"WITH {W}, l AS (SELECT msg_id, l.href AS href, row_number() OVER (PARTITION BY msg_id) AS n FROM ({_LINK}) WHERE starts_with(md5(l.href), '0')) SELECT msg_id, CAST(0.95 AS DOUBLE) AS confidence FROM l WHERE n <= 3"
+for _v in ("phishing", "suspicious", "clean"):
+    _CHECK_SQL[f"semantic.llm_{_v}"] = f"WITH {W}, o AS (SELECT submission_id, arg_min(verdict, event_no) AS v FROM notify_events WHERE submission_id IS NOT NULL AND verdict IN ('phishing', 'suspicious', 'clean') GROUP BY 1) SELECT msg_id, CAST(0.8 AS DOUBLE) AS confidence FROM mail JOIN o USING (submission_id) WHERE v = '{_v}'"
+_MADE = lambda where, confidence: f"WITH {V.MADE_SQL} SELECT CAST(summary_id AS VARCHAR) AS msg_id, CAST({confidence} AS DOUBLE) AS confidence FROM made WHERE {where}"
+_CHECK_SQL["link.tracking_pixel"] = _MADE("summary_id % 4 = 0", 0.8)
+_CHECK_SQL["header.bulk_mailer_personal"] = _MADE("summary_id % 5 = 0", 0.75)
+_CHECK_SQL["content.hidden_text"] = _MADE("summary_id % 6 = 0", 0.8)
+_CHECK_SQL["attachment.html_active"] = _MADE("summary_id % 7 = 0", 0.9)
+_CHECK_SQL["attachment.pdf_active"] = _MADE("summary_id % 8 = 0", 0.9).replace("CAST(summary_id AS VARCHAR)", "'pdf' || summary_id")
+_CHECK_SQL["header.messageid_mismatch"] = _MADE("summary_id % 3 = 0 AND contains(mail_from, '@')", 0.6)
+
 _NEEDS_HOPS = {"header.received_private_ip", "header.received_ip_listed", "header.date_skew", "auth.unverified", "reputation.ip_listed"}
 _NEEDS_BRANDS = {"auth.dkim_none", "auth.aligned_official", "domain.brand_lookalike", "domain.free_mail_org", "link.brand_lookalike", "content.generic_greeting", "content.language_mismatch", "brand.sender_mismatch"}
 
 
-def _listed(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Lookup tables made of the indicators: domains reported by two organisations or more are a feed."""
+def _feed(spark: SparkSession, sf: str) -> DataFrame:
     i = table(spark, sf, "iocs").where("ioc_kind = 'domain' AND ioc_value IS NOT NULL").select(F.lower(F.trim("ioc_value")).alias("host"), "org_id")
-    feed = i.groupBy("host").agg(F.count_distinct("org_id").alias("n")).where("n >= 2").select("host", F.lit("reports").alias("source"), F.lit(1).alias("priority"))
-    return {"feeds": feed, "lists": feed.select(F.lit("").alias("org_id"), F.lit("block").alias("kind"), F.col("host").alias("value"))}
+    return i.groupBy("host").agg(F.count_distinct("org_id").alias("n")).where("n >= 2").select("host", F.lit("reports").alias("source"), F.lit(1).alias("priority"))
+
+
+def _lookup(spark: SparkSession, sf: str, name: str, mail: DataFrame) -> DataFrame:
+    """A lookup table made of the test tables, by rules that the SQL of the checks repeats.
+
+    Feeds and block lists hold the domains that two organisations or more
+    report, allow lists the known ones. Addresses with an even last number are
+    answered as listed. Sender domains whose hash begins with 0 to 3 are
+    fifteen days old. Hashes are bad if they are indicators, links lead to a
+    login form if their hash begins with 0. Opinions repeat a submission's verdict.
+    """
+    if name == "feeds":
+        return _feed(spark, sf)
+    if name == "lists":
+        block = _feed(spark, sf).select(F.lit("").alias("org_id"), F.lit("block").alias("kind"), F.col("host").alias("value"))
+        return block.unionByName(table(spark, sf, "known_domains").where("domain_name IS NOT NULL").select(F.lit("").alias("org_id"), F.lit("allow").alias("kind"), F.col("domain_name").alias("value")))
+    if name == "dns":
+        ips = table(spark, sf, "received_hops").where(F.col("ip").rlike(r"^[0-9.]*[02468]$")).select("ip").distinct()
+        return ips.select("ip", F.lit("127.0.0.2").alias("answer"), F.lit(0).alias("abuse_score"))
+    if name == "registrations":
+        young = mail.select(H.registrable_domain(F.col("from.domain")).alias("domain")).where(F.md5("domain").rlike("^[0-3]")).distinct()
+        return young.select("domain", (F.to_timestamp(F.lit(V.AS_OF)) - F.expr("INTERVAL 15 DAYS")).alias("registered_at"))
+    if name == "hashes":
+        return table(spark, sf, "iocs").where("ioc_kind = 'sha256' AND ioc_value IS NOT NULL").select(F.lower(F.trim("ioc_value")).alias("sha256"), F.lit(1).alias("malicious"), F.lit(0).alias("suspicious")).distinct()
+    if name == "logins":
+        links = mail.select(F.explode(F.transform("links", lambda x: x["href"])).alias("url")).where(F.md5("url").startswith("0")).distinct()
+        return links.select("url", F.lit(True).alias("has_login_form"))
+    if name == "opinions":
+        told = table(spark, sf, "notify_events").where("submission_id IS NOT NULL AND verdict IN ('phishing', 'suspicious', 'clean')").groupBy("submission_id").agg(F.min_by(F.struct("verdict", "attack_type"), "event_no").alias("o"))
+        llm = F.struct(F.col("o.verdict").alias("verdict_opinion"), F.col("o.attack_type").alias("attack_type"), F.lit(None).cast("string").alias("recommended_action"), F.lit(1).alias("highlights"))
+        return mail.select("msg_id", "submission_id").join(told, "submission_id").select("msg_id", llm.alias("llm"))
+    return V.brands(spark, sf)
+
+
+#: The lookups that checks need, and the ones that need a raw message.
+_NEEDS = {"reputation.org_blocklist": ("lists",), "reputation.org_allowlist": ("lists",), "reputation.domain_listed": ("feeds",), "reputation.ip_listed": ("dns",), "header.received_ip_listed": ("dns",), "reputation.domain_age": ("registrations",), "attachment.virustotal": ("hashes",), "link.login_form": ("logins",), "semantic.llm_phishing": ("opinions",), "semantic.llm_suspicious": ("opinions",), "semantic.llm_clean": ("opinions",)}
+_NEEDS |= {i: ("brands",) for i in _NEEDS_BRANDS}
+_RAW = {"header.bulk_mailer_personal", "header.messageid_mismatch", "link.tracking_pixel", "content.hidden_text", "attachment.html_active", "attachment.pdf_active"}
 
 
 def detected(spark: SparkSession, sf: str, *ids: str) -> DataFrame:
-    """Mails with the signals of the checks named, or of all."""
-    mail = V.mails(spark, sf, hops=not ids or bool(_NEEDS_HOPS & set(ids)))
-    if not ids or _NEEDS_BRANDS & set(ids):
-        mail = L.with_lookups(mail, brands=V.brands(spark, sf))
-    if not ids or any(i.startswith("reputation.") for i in ids):
-        mail = L.with_lookups(mail, **_listed(spark, sf))
-    return C.detect(mail, ids or None)
+    """Mails with the signals of the checks named, or of all.
+
+    The records are written once, and the lookups read the few columns they
+    need of what was written. Checks on what only a raw message has run on
+    messages made of the tables.
+    """
+    if ids and _RAW & set(ids):
+        from mailquern.sources.mail import parse_mail
+
+        return C.detect(parse_mail(V.made_messages(spark, sf)), ids)
+    needs = sorted({n for i in ids or _NEEDS for n in _NEEDS.get(i, ())})
+    mail = V.mails(spark, sf, hops=not ids or bool(_NEEDS_HOPS & set(ids)), paths=not ids or "header.returnpath_mismatch" in ids)
+    if "hashes" in needs:
+        mail = V.hashed(mail, spark, sf)
+    if needs:
+        mail = checkpointed(mail)
+        mail = L.with_lookups(mail, **{n: _lookup(spark, sf, n, mail) for n in needs})
+    return C.detect(mail.withColumn("as_of", F.to_timestamp(F.lit(V.AS_OF))), ids or None)
 
 
 def _register_check(id: str) -> None:
@@ -171,6 +245,16 @@ for _id in C.emission_order():
     _register_check(_id)
 
 
+@R.query("parse_messages", f"""WITH {V.MADE_SQL} SELECT CAST(summary_id AS VARCHAR) AS msg_id, lower(mail_from) AS addr, coalesce(trim(subject), '') AS subject, coalesce(spf, 'none') AS spf, coalesce(dkim, 'none') AS dkim, coalesce(dmarc, 'none') AS dmarc,
+CAST(len(list_distinct(list_concat(list_transform(coalesce(links, []), lambda l: l.href), list_filter(list_transform(coalesce(links, []), lambda l: l.anchor), lambda a: starts_with(a, 'http'))))) AS INTEGER) AS n_links, CAST((summary_id % 7 = 0) AS INTEGER) AS n_files, false AS failed FROM made""")
+def parse_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw messages made of the summaries, parsed back to the fields they were made of."""
+    from mailquern.sources.mail import parse_mail
+
+    m = parse_mail(V.made_messages(spark, sf).where("kind = 'eml'"))
+    return m.select("msg_id", F.col("from.addr").alias("addr"), F.coalesce("subject", F.lit("")).alias("subject"), "spf", "dkim", "dmarc", F.size("links").alias("n_links"), F.size("attachments").alias("n_files"), F.col("error").isNotNull().alias("failed"))
+
+
 @R.query("analyze")
 def analyze(spark: SparkSession, sf: str) -> DataFrame:
     """Every mail through all checks to its score, verdict, confidence, attack type and signals."""
@@ -260,13 +344,14 @@ def brand_match_text(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT msg_id, unnest([addr, from_domain, {V.registrable_sql('from_domain')}, reply_domain, {V.registrable_sql('reply_domain')}]) AS v FROM mail UNION ALL SELECT msg_id, unnest([lower(l.host), {V.registrable_sql('lower(l.host)')}]) FROM ({_LINK}))
 SELECT DISTINCT msg_id FROM c WHERE v <> '' AND v IN (SELECT regexp_replace(host, '\.+$', '') FROM feed)""")
 def list_block_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return L.list_hits(V.mails(spark, sf), _listed(spark, sf)["lists"]).where("block_hit IS NOT NULL").select("msg_id")
+    mail = V.mails(spark, sf)
+    return L.list_hits(mail, _lookup(spark, sf, "lists", mail)).where("block_hit IS NOT NULL").select("msg_id")
 
 
 @R.query("ti_domain_join", rf"""WITH {W}, feed AS (SELECT lower(trim(ioc_value)) AS host FROM iocs WHERE ioc_kind = 'domain' AND ioc_value IS NOT NULL GROUP BY 1 HAVING count(DISTINCT org_id) >= 2),
 c AS (SELECT msg_id, from_domain AS v FROM mail UNION SELECT msg_id, lower(l.host) FROM ({_LINK})) SELECT msg_id, count(DISTINCT v) AS n_listed FROM c WHERE v IN (SELECT regexp_replace(host, '\.+$', '') FROM feed) GROUP BY 1""")
 def ti_domain_join(spark: SparkSession, sf: str) -> DataFrame:
-    return L.listed_domains(V.mails(spark, sf), _listed(spark, sf)["feeds"]).select("msg_id", F.size("listed_domains").alias("n_listed"))
+    return L.listed_domains(V.mails(spark, sf), _feed(spark, sf)).select("msg_id", F.size("listed_domains").alias("n_listed"))
 
 
 @R.query("ti_ip_first_hop", """WITH h AS (SELECT DISTINCT hop_id, submission_id, hop_no, ip FROM received_hops WHERE ip IS NOT NULL AND submission_id IS NOT NULL), bad AS (SELECT ip FROM h GROUP BY 1 HAVING count(*) >= 2)

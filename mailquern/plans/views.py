@@ -1,13 +1,15 @@
 """The tables of a data folder as mail records and analyses; and the same in SQL, for the queries' checks.
 
-A mail is a message summary with the body, display name and attachment names
-that the prompt table holds for the same submission, and the received hops of
-it. Nothing is sampled: every summary is a mail.
+A mail is a message summary with the body, display name and attachment names of
+one prompt of the same submission, the received hops of it, its return path and
+the hashes its events name. The first summary of a submission meets its first
+prompt, the second its second, by their keys; what is left of either is a mail of
+its own, so every summary and every prompt is in one mail and none is left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mailquern import model
 from mailquern.functions import hosts as H
@@ -17,10 +19,19 @@ from mailquern.sources.files import extension  # noqa: F401 - the rule that the
 from mailquern.tables import table
 
 
-def mails(spark: SparkSession, sf: str, hops: bool = False) -> DataFrame:
-    s = table(spark, sf, "message_summaries").dropDuplicates(["summary_id"])
-    p = table(spark, sf, "prompt_data").where("submission_id IS NOT NULL").groupBy("submission_id").agg(F.min_by(F.struct("mail_from", "body", "attachment_list"), "prompt_id").alias("p"))
-    d = s.join(p, "submission_id", "left")
+#: Times with a date, a clock with seconds and an offset, which every reader takes alike.
+ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:Z|[+-]\d\d:\d\d)$"
+#: The day from which ages are counted.
+AS_OF = "2026-12-31 00:00:00"
+
+
+def mails(spark: SparkSession, sf: str, hops: bool = False, paths: bool = False) -> DataFrame:
+    rank = lambda key: F.row_number().over(Window.partitionBy(F.coalesce("submission_id", F.col(key).cast("string"))).orderBy(key))  # noqa: E731 - rows of no submission stand alone
+    s = table(spark, sf, "message_summaries").where("summary_id IS NOT NULL").dropDuplicates(["summary_id"]).withColumn("r", rank("summary_id"))
+    p = table(spark, sf, "prompt_data").where("prompt_id IS NOT NULL").select("prompt_id", "submission_id", "mail_from", "reply_to", "subject", "body", "attachment_list").dropDuplicates(["prompt_id"]).withColumn("r", rank("prompt_id"))
+    p = p.select(F.col("submission_id").alias("p_submission"), F.col("r").alias("p_r"), F.struct("prompt_id", "mail_from", "reply_to", "subject", "body", "attachment_list").alias("p"))
+    d = s.join(p, (F.col("submission_id") == F.col("p_submission")) & (F.col("r") == F.col("p_r")), "full")
+    d = d.withColumns({"submission_id": F.coalesce("submission_id", "p_submission"), "mail_from": F.coalesce("mail_from", "p.mail_from"), "reply_to": F.coalesce("reply_to", "p.reply_to"), "subject": F.coalesce("subject", "p.subject"), "msg_id": F.coalesce(F.col("summary_id").cast("string"), F.concat(F.lit("p"), F.col("p.prompt_id").cast("string")))})
     addr, reply = H.address_of(F.col("mail_from")), H.address_of(F.col("reply_to"))
     link = lambda x: F.struct(x["href"].alias("href"), x["anchor"].alias("text"), F.lower(x["host"]).alias("domain"), H.url_port(x["href"]).alias("port"), H.is_ipv4(x["host"]).alias("is_ip"), H.is_shortener(F.lower(x["host"])).alias("is_shortener"), H.punycode(F.lower(x["host"])).alias("punycode"), H.anchor_mismatch(x["anchor"], F.lower(x["host"])).alias("mismatch"))
     ext = lambda n: F.lower(F.regexp_extract(F.trim(n), r"\.([^./]*)$", 1))
@@ -28,30 +39,43 @@ def mails(spark: SparkSession, sf: str, hops: bool = False) -> DataFrame:
     listed = F.when(F.coalesce("p.attachment_list", F.lit("")) != "", F.array(F.col("p.attachment_list"))).otherwise(F.array().cast("array<string>"))
     files = F.concat(F.transform(F.coalesce("attachments", F.array().cast("array<struct<file_name:string,mime:string,n_bytes:bigint>>")), lambda a: own(a["file_name"], a["mime"], a["n_bytes"])), F.transform(listed, lambda n: own(n, F.lit(None).cast("string"), F.lit(None).cast("long"))))
     d = d.select(
-        F.col("summary_id").cast("string").alias("msg_id"), "submission_id", F.struct(H.display_of(F.col("p.mail_from")).alias("display"), addr.alias("addr"), H.domain_of(addr).alias("domain")).alias("from"),
+        "msg_id", "submission_id", F.struct(H.display_of(F.col("p.mail_from")).alias("display"), addr.alias("addr"), H.domain_of(addr).alias("domain")).alias("from"),
         F.struct(F.lit(None).cast("string").alias("display"), reply.alias("addr"), H.domain_of(reply).alias("domain")).alias("reply_to"), "subject", F.col("p.body").alias("text_body"), F.lit(True).alias("has_headers"),
         F.to_timestamp("mail_date").alias("date"), "spf", "dkim", "dmarc", F.when(F.coalesce("spf", "dkim", "dmarc").isNotNull(), "header").alias("auth_source"), F.transform("links", link).alias("links"), files.alias("attachments"),
         detect_language(F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("p.body", F.lit("")))).alias("language"),
     )
     if hops:
         h = table(spark, sf, "received_hops").where("submission_id IS NOT NULL").dropDuplicates(["hop_id"])
-        h = h.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("hop_no", "hop_id", "ip"))).alias("h"))
-        d = d.join(h, "submission_id", "left").withColumn("received", F.transform("h", lambda x: F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("from_host"), F.lit(None).cast("string").alias("by_host"), x["ip"].alias("ip"), F.lit(None).cast("timestamp").alias("ts"))))
+        h = h.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("hop_no", "hop_id", "ip", F.when(F.col("hop_ts").rlike(ISO), F.try_to_timestamp("hop_ts")).alias("ts")))).alias("h"))
+        d = d.join(h, "submission_id", "left").withColumn("received", F.transform("h", lambda x: F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("from_host"), F.lit(None).cast("string").alias("by_host"), x["ip"].alias("ip"), x["ts"].alias("ts"))))
+    if paths:
+        back = table(spark, sf, "addresses").where("addr_role = 'return_path' AND submission_id IS NOT NULL").groupBy("submission_id").agg(F.min_by("addr_domain", "addr_id").alias("back"))
+        d = d.join(back, "submission_id", "left").withColumn("return_path", F.struct(F.lit(None).cast("string").alias("display"), F.lit(None).cast("string").alias("addr"), F.lower(F.trim("back")).alias("domain")))
     return model.as_mail(d, "submission_id")
 
 
-MAIL_SQL = r"""
-p AS (SELECT * FROM prompt_data WHERE submission_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY prompt_id) = 1),
-s AS (SELECT * FROM message_summaries QUALIFY row_number() OVER (PARTITION BY summary_id) = 1),
-mail AS (SELECT CAST(s.summary_id AS VARCHAR) AS msg_id, s.submission_id,
-  nullif(lower(regexp_extract(s.mail_from, '([^\s<>()",;]+@[^\s<>()",;]+)', 1)), '') AS addr,
+def hashed(mail: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """``mail`` with the hashes that the events of its submission name, each as a nameless attachment."""
+    e = table(spark, sf, "notify_events").where("submission_id IS NOT NULL").select("submission_id", F.explode("attachment_sha256").alias("sha256")).where("sha256 IS NOT NULL")
+    own = e.groupBy("submission_id").agg(F.array_sort(F.collect_set(F.lower(F.trim("sha256")))).alias("hashes"))
+    bare = F.transform("hashes", lambda h: F.from_json(F.lit("{}"), model.ATTACHMENT).withField("sha256", h).withField("name", F.lit("")).withField("ext", F.lit("")))
+    return mail.join(own, "submission_id", "left").withColumn("attachments", F.concat("attachments", F.coalesce(bare, F.array().cast(f"array<{model.ATTACHMENT}>")))).drop("hashes")
+
+
+_ADDR = r"""coalesce(nullif(lower(regexp_extract(coalesce(s.mail_from, p.mail_from), '<([^<>\s]+@[^<>\s]+)>', 1)), ''), nullif(lower(regexp_extract(coalesce(s.mail_from, p.mail_from), '([^\s<>()"'',;]+@[^\s<>()"'',;]+)', 1)), ''))"""
+_REPLY = _ADDR.replace("mail_from", "reply_to")
+MAIL_SQL = rf"""
+p AS (SELECT *, row_number() OVER (PARTITION BY coalesce(submission_id, CAST(prompt_id AS VARCHAR)) ORDER BY prompt_id) AS r FROM (SELECT * FROM prompt_data WHERE prompt_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY prompt_id) = 1)),
+s AS (SELECT *, row_number() OVER (PARTITION BY coalesce(submission_id, CAST(summary_id AS VARCHAR)) ORDER BY summary_id) AS r FROM (SELECT * FROM message_summaries WHERE summary_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY summary_id) = 1)),
+mail AS (SELECT coalesce(CAST(s.summary_id AS VARCHAR), 'p' || p.prompt_id) AS msg_id, coalesce(s.submission_id, p.submission_id) AS submission_id,
+  {_ADDR} AS addr,
   nullif(trim(regexp_replace(regexp_replace(p.mail_from, '<[^<>]*>\s*$', ''), '^\s*"|"\s*$', '', 'g')), '') AS display,
-  nullif(lower(regexp_extract(s.mail_from, '@([^\s<>()",;]+)$', 1)), '') AS from_domain,
-  nullif(lower(regexp_extract(s.reply_to, '@([^\s<>()",;]+)$', 1)), '') AS reply_domain,
-  s.subject, p.body AS text_body, replace(lower(coalesce(s.subject, '') || chr(10) || coalesce(p.body, '')), 'ё', 'е') AS norm,
-  s.spf, s.dkim, s.dmarc, coalesce(s.links, []) AS links,
+  nullif(regexp_extract({_ADDR}, '@([^@]*)$', 1), '') AS from_domain,
+  {_REPLY} AS reply_addr, nullif(regexp_extract({_REPLY}, '@([^@]*)$', 1), '') AS reply_domain,
+  coalesce(s.subject, p.subject) AS subject, p.body AS text_body, replace(lower(coalesce(s.subject, p.subject, '') || chr(10) || coalesce(p.body, '')), 'ё', 'е') AS norm,
+  s.spf, s.dkim, s.dmarc, s.mail_date, coalesce(s.links, []) AS links,
   list_concat(list_transform(coalesce(s.attachments, []), lambda a: a.file_name), CASE WHEN coalesce(p.attachment_list, '') <> '' THEN [p.attachment_list] ELSE [] END) AS files
-  FROM s LEFT JOIN p USING (submission_id))"""
+  FROM s FULL JOIN p ON s.submission_id = p.submission_id AND s.r = p.r)"""
 
 
 def registrable_sql(h: str) -> str:
@@ -90,3 +114,33 @@ def brands(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "known_domains").where("domain_name IS NOT NULL").select("domain_id", F.lower("domain_name").alias("d"))
     g = d.groupBy(F.substring_index("d", ".", 1).alias("name")).agg(F.array_sort(F.collect_set("d")).alias("domains"), F.min("domain_id").cast("int").alias("load_order"))
     return g.select("name", "domains", F.array().cast("array<string>").alias("esp_domains"), F.array("name").alias("keywords"), F.lit("global").alias("locale"), F.array().cast("array<string>").alias("colors"), F.lit(None).cast("bigint").alias("logo_phash"), F.lit("").alias("org_id"), "load_order")
+
+
+def made_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, kind, content): a raw message of each summary, with marks in body and headers by the summary's key.
+
+    Every 4th has a one-pixel image, every 5th a bulk mailer, every 6th hidden
+    text, every 7th an HTML attachment with a script, and of every 3rd the message
+    id is of another domain. Beside every 8th there is a PDF that opens an action.
+    """
+    s = table(spark, sf, "message_summaries").where("summary_id IS NOT NULL AND mail_from IS NOT NULL").dropDuplicates(["summary_id"])
+    k, nth = F.col("summary_id"), lambda n: F.col("summary_id") % n == 0
+    coded = lambda c: F.regexp_replace(F.base64(F.encode(c, "utf-8")), r"\s", "")
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    part = lambda head, body: F.concat(F.lit("--b0\r\n" + head + "Content-Transfer-Encoding: base64\r\n\r\n"), coded(body), F.lit("\r\n"))
+    link = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<struct<href:string,anchor:string,host:string>>")), lambda x: F.concat(F.lit('<a href="'), x["href"], F.lit('">'), F.coalesce(x["anchor"], F.lit("")), F.lit("</a>"))), " ")
+    html = F.concat(F.lit("<html><body><p>Hello</p>"), link, F.when(nth(4), '<img src="https://t.example/p.gif" width="1" height="1">').otherwise(""), F.when(nth(6), '<span style="display:none">hidden words</span>').otherwise(""), F.lit("</body></html>"))
+    auth = F.concat(F.lit("mx.example; spf="), F.coalesce("spf", F.lit("none")), F.lit("; dkim="), F.coalesce("dkim", F.lit("none")), F.lit("; dmarc="), F.coalesce("dmarc", F.lit("none")))
+    text = F.concat(
+        line("From", F.col("mail_from")), line("To", F.lit("desk@org.example")), line("Subject", F.concat(F.lit("=?utf-8?B?"), coded(F.coalesce("subject", F.lit(""))), F.lit("?="))),
+        line("Message-ID", F.concat(F.lit("<m"), k.cast("string"), F.lit("@"), F.when(nth(3), "relay.elsewhere.test").otherwise(F.coalesce(H.domain_of("mail_from"), F.lit("x"))), F.lit(">"))), F.when(nth(5), "X-Mailer: Mailchimp Mailer\r\n").otherwise(""),
+        line("Authentication-Results", auth), F.lit('MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="b0"\r\n\r\n'), part("Content-Type: text/html; charset=utf-8\r\n", html),
+        F.when(nth(7), part('Content-Type: text/html; name="page.html"\r\nContent-Disposition: attachment; filename="page.html"\r\n', F.lit("<html><script>go()</script></html>"))).otherwise(""),
+        F.lit("--b0--\r\n"),
+    )
+    mails = s.select(k.cast("string").alias("path"), F.lit("eml").alias("kind"), F.encode(text, "utf-8").alias("content"))
+    active = F.lit("%PDF-1.4\n1 0 obj << /Type /Catalog /OpenAction << /S /JavaScript /JS (go()) >> >> endobj\n%%EOF")
+    return mails.unionByName(s.where(nth(8)).select(F.concat(F.lit("pdf"), k.cast("string")).alias("path"), F.lit("pdf").alias("kind"), F.encode(active, "utf-8").alias("content")))
+
+
+MADE_SQL = "made AS (SELECT * FROM message_summaries WHERE summary_id IS NOT NULL AND mail_from IS NOT NULL QUALIFY row_number() OVER (PARTITION BY summary_id) = 1)"

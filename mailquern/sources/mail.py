@@ -89,12 +89,14 @@ def auth_results(values: list[str]) -> dict[str, str]:
 
 def _text(part) -> str:
     raw = part.get_payload(decode=True) or b""
+    if len(raw) > MAX_BODY:
+        raise ValueError("a body above the size limit")
     for charset in (part.get_content_charset(), "utf-8"):
         try:
-            return raw[:MAX_BODY].decode(charset, "replace") if charset else raw[:MAX_BODY].decode("utf-8")
+            return raw.decode(charset, "replace") if charset else raw.decode("utf-8")
         except (LookupError, UnicodeDecodeError, ValueError):
             pass
-    return raw[:MAX_BODY].decode("latin-1")
+    return raw.decode("latin-1")
 
 
 def _walk(part, out: dict, depth: int = 0) -> None:
@@ -127,7 +129,8 @@ def parse_eml(data: bytes) -> dict:
     m = email.message_from_bytes(data, policy=email.policy.compat32)
     out: dict = {"parts": 0, "text": [], "html": [], "attachments": [], "images": []}
     _walk(m, out)
-    first = lambda k: m.get(k)
+    plain = lambda v: str(v).encode("utf-8", "surrogateescape").decode("utf-8", "replace")  # noqa: E731 - headers may be written in UTF-8 as they stand
+    first = lambda k: next((plain(v) for n, v in m.raw_items() if n.lower() == k.lower()), None)
     results = auth_results([str(v) for v in m.get_all("Authentication-Results") or []])
     links = []
     html_text = ""

@@ -215,7 +215,12 @@ def test_opinions(spark):
 def test_redact():
     t = "Write a.b@c.example or A.B@C.EXAMPLE, card 4111 1111 1111 1111, run 1234567890123, IIN 970514452252, call +7 701 111 22 33."
     r = O.redact(t)
-    assert r == "Write [EMAIL_1@c.example] or [EMAIL_1@C.EXAMPLE], card [CARD_1], run 1234567890123, IIN [IIN_1], call [PHONE_1]." and O.redact(None) is None
+    assert r == "Write [EMAIL_1]@c.example or [EMAIL_2]@C.EXAMPLE, card [CARD_1], run 1234567890123, IIN [IIN_1], call [PHONE_1]." and O.redact(None) is None
+
+
+def test_redact_names_each_original():
+    r = O.redact("Пишет Анна <a.berg@company.kz>, тел 7 701 123 45 67, ИИН 900101300123, карта 4111 1111 1111 1111, IBAN KZ86125KZT5004100100, ещё 1234567890123")
+    assert r == "Пишет Анна <[EMAIL_1]@company.kz>, тел [PHONE_1], ИИН [IIN_1], карта [CARD_1], IBAN [IBAN_1], ещё 1234567890123"
 
 
 def test_tune(spark):
