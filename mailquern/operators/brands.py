@@ -13,7 +13,7 @@ from mailquern.functions.text import normalise_homoglyphs
 
 SCHEMA = "name string, domains array<string>, esp_domains array<string>, keywords array<string>, locale string, colors array<string>, logo_phash bigint, org_id string, load_order int"
 #: More labels or keywords than this are matched in blocks, so that what a task holds stays bounded.
-BLOCK = 20_000
+BLOCK = 5_000
 
 
 def read_brands(spark: SparkSession, path: str) -> DataFrame:
@@ -64,27 +64,33 @@ def brand_labels(brands: DataFrame) -> DataFrame:
     return brands.select("name", "load_order", "locale", F.explode(every).alias("label"))
 
 
-def _nearest(labels: Sequence[tuple[str, str, int]]):
-    by_length: dict[int, list[tuple[str, str, int]]] = {}
-    for label, name, order in labels:
-        if len(label) >= 5:
-            by_length.setdefault(len(label), []).append((label, name, order))
+def _shortened(word: str, most: int) -> set[str]:
+    """A word and what is left of it after taking out up to ``most`` characters: words within that many edits share one."""
+    out = now = {word}
+    for _ in range(most):
+        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
+        out = out | now
+    return out
+
 
+def _nearest(labels: Sequence[tuple[str, str, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index: dict[str, list[tuple[str, str, int]]] = {}
+        for row in labels:
+            if len(row[0]) >= 5:
+                for w in _shortened(row[0], 2 if len(row[0]) >= 8 else 1):
+                    index.setdefault(w, []).append(row)
         for pdf in batches:
             out = []
-            for host, sld in zip(pdf["host"], pdf["sld"]):
+            for sld, hosts in pdf[pdf["sld"].str.len() >= 5].groupby("sld")["host"]:
                 best = None
-                if sld is not None and len(sld) >= 5:
-                    for n in range(len(sld) - 2, len(sld) + 3):
-                        for label, name, order in by_length.get(n, ()):
-                            d = osa_distance(sld, label)
-                            if 0 < d <= (2 if n >= 8 else 1):
-                                score = 1 - d / n
-                                if best is None or (score, -order) > (best[0], -best[2]):
-                                    best = (score, name, order)
+                for label, name, order in {row for w in _shortened(sld, 2) for row in index.get(w, ())}:
+                    d = osa_distance(sld, label)
+                    n = len(label)
+                    if 0 < d <= (2 if n >= 8 else 1) and (best is None or (1 - d / n, -order) > (best[0], -best[2])):
+                        best = (1 - d / n, name, order)
                 if best:
-                    out.append((host, best[1], best[0], best[2]))
+                    out += [(host, best[1], best[0], best[2]) for host in hosts]
             yield pd.DataFrame(out, columns=["host", "name", "score", "load_order"])
 
     return run
@@ -100,7 +106,8 @@ def match_hosts(hosts: DataFrame, brands: DataFrame, host: str = "host") -> Data
     1 - distance / length). The best score wins, then the first brand.
 
     Hosts are made distinct first; exact matches are joins on suffixes and
-    labels, and only near ones compare, within bands of length.
+    labels. Near ones meet through what both leave after a deletion or two, and
+    only those are compared.
     """
     h = hosts.select(F.col(host).alias("host")).where(F.col("host") != "").distinct()
     parts = F.split("host", r"\.")

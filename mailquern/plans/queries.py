@@ -155,13 +155,19 @@ _BLOCKED = f"{_FEED}, {_VALUES}, blocked AS (SELECT DISTINCT msg_id FROM v JOIN
 _CHECK_SQL["reputation.org_blocklist"] = f"WITH {W}, {_BLOCKED} SELECT msg_id, CAST(1.0 AS DOUBLE) AS confidence FROM blocked"
 _CHECK_SQL["reputation.org_allowlist"] = f"WITH {W}, {_BLOCKED} SELECT msg_id, CAST(1.0 AS DOUBLE) AS confidence FROM mail WHERE msg_id NOT IN (SELECT msg_id FROM blocked) AND (from_domain IN (SELECT lower(domain_name) FROM known_domains WHERE domain_name IS NOT NULL) OR {_RD} IN (SELECT lower(domain_name) FROM known_domains WHERE domain_name IS NOT NULL))"
 _CHECK_SQL["reputation.domain_listed"] = f"WITH {W}, {_FEED}, h AS (SELECT msg_id, unnest(list_distinct(list_filter(list_concat([from_domain], {_LH}), lambda x: x IS NOT NULL AND x <> ''))) AS host FROM mail) SELECT msg_id, CAST(1.0 AS DOUBLE) AS confidence FROM h JOIN feed USING (host)"
-_CHECK_SQL["attachment.virustotal"] = f"WITH {W}, e AS (SELECT DISTINCT submission_id, lower(trim(h)) AS sha FROM (SELECT submission_id, unnest(attachment_sha256) AS h FROM notify_events WHERE submission_id IS NOT NULL) WHERE h IS NOT NULL) SELECT msg_id, CAST(0.95 AS DOUBLE) AS confidence FROM mail JOIN e USING (submission_id) WHERE sha IN (SELECT lower(trim(ioc_value)) FROM iocs WHERE ioc_kind = 'sha256' AND ioc_value IS NOT NULL)"
+_CHECK_SQL["attachment.virustotal"] = f"WITH {W}, e AS (SELECT DISTINCT submission_id, lower(trim(h)) AS sha FROM (SELECT submission_id, unnest(attachment_sha256) AS h FROM notify_events WHERE submission_id IS NOT NULL) WHERE h IS NOT NULL) SELECT msg_id, CAST(0.95 AS DOUBLE) AS confidence FROM mail JOIN e USING (submission_id) WHERE regexp_matches(sha, '^[01]')"
 _CHECK_SQL["link.login_form"] = f"WITH {W}, l AS (SELECT msg_id, l.href AS href, row_number() OVER (PARTITION BY msg_id) AS n FROM ({_LINK}) WHERE starts_with(md5(l.href), '0')) SELECT msg_id, CAST(0.95 AS DOUBLE) AS confidence FROM l WHERE n <= 3"
 for _v in ("phishing", "suspicious", "clean"):
     _CHECK_SQL[f"semantic.llm_{_v}"] = f"WITH {W}, o AS (SELECT submission_id, arg_min(verdict, event_no) AS v FROM notify_events WHERE submission_id IS NOT NULL AND verdict IN ('phishing', 'suspicious', 'clean') GROUP BY 1) SELECT msg_id, CAST(0.8 AS DOUBLE) AS confidence FROM mail JOIN o USING (submission_id) WHERE v = '{_v}'"
 _MADE = lambda where, confidence: f"WITH {V.MADE_SQL} SELECT CAST(summary_id AS VARCHAR) AS msg_id, CAST({confidence} AS DOUBLE) AS confidence FROM made WHERE {where}"
 _CHECK_SQL["link.tracking_pixel"] = _MADE("summary_id % 4 = 0", 0.8)
 _CHECK_SQL["header.bulk_mailer_personal"] = _MADE("summary_id % 5 = 0", 0.75)
+_CHECK_SQL["attachment.archive_executable"] = _MADE("summary_id % 9 = 0", 0.95)
+_CHECK_SQL["attachment.archive_encrypted"] = _MADE("summary_id % 10 = 0", 0.9)
+_CHECK_SQL["attachment.macro"] = _MADE("summary_id % 11 = 0", 0.95)
+_CHECK_SQL["attachment.rtl_override"] = _MADE("summary_id % 13 = 0", 1.0)
+_CHECK_SQL["link.cloud_form"] = _MADE("summary_id % 14 = 0", 0.85)
+_CHECK_SQL["content.image_only"] = _MADE("summary_id % 15 = 0", 0.8)
 _CHECK_SQL["content.hidden_text"] = _MADE("summary_id % 6 = 0", 0.8)
 _CHECK_SQL["attachment.html_active"] = _MADE("summary_id % 7 = 0", 0.9)
 _CHECK_SQL["attachment.pdf_active"] = _MADE("summary_id % 8 = 0", 0.9).replace("CAST(summary_id AS VARCHAR)", "'pdf' || summary_id")
@@ -182,8 +188,8 @@ def _lookup(spark: SparkSession, sf: str, name: str, mail: DataFrame) -> DataFra
     Feeds and block lists hold the domains that two organisations or more
     report, allow lists the known ones. Addresses with an even last number are
     answered as listed. Sender domains whose hash begins with 0 to 3 are
-    fifteen days old. Hashes are bad if they are indicators, links lead to a
-    login form if their hash begins with 0. Opinions repeat a submission's verdict.
+    fifteen days old. Hashes that begin with 0 or 1 are bad, links lead to a
+    login form if their own hash begins with 0. Opinions repeat a submission's verdict.
     """
     if name == "feeds":
         return _feed(spark, sf)
@@ -197,7 +203,7 @@ def _lookup(spark: SparkSession, sf: str, name: str, mail: DataFrame) -> DataFra
         young = mail.select(H.registrable_domain(F.col("from.domain")).alias("domain")).where(F.md5("domain").rlike("^[0-3]")).distinct()
         return young.select("domain", (F.to_timestamp(F.lit(V.AS_OF)) - F.expr("INTERVAL 15 DAYS")).alias("registered_at"))
     if name == "hashes":
-        return table(spark, sf, "iocs").where("ioc_kind = 'sha256' AND ioc_value IS NOT NULL").select(F.lower(F.trim("ioc_value")).alias("sha256"), F.lit(1).alias("malicious"), F.lit(0).alias("suspicious")).distinct()
+        return mail.select(F.explode(F.transform("attachments", lambda x: x["sha256"])).alias("sha256")).where(F.col("sha256").rlike("^[01]")).distinct().withColumns({"malicious": F.lit(1), "suspicious": F.lit(0)})
     if name == "logins":
         links = mail.select(F.explode(F.transform("links", lambda x: x["href"])).alias("url")).where(F.md5("url").startswith("0")).distinct()
         return links.select("url", F.lit(True).alias("has_login_form"))
@@ -211,7 +217,7 @@ def _lookup(spark: SparkSession, sf: str, name: str, mail: DataFrame) -> DataFra
 #: The lookups that checks need, and the ones that need a raw message.
 _NEEDS = {"reputation.org_blocklist": ("lists",), "reputation.org_allowlist": ("lists",), "reputation.domain_listed": ("feeds",), "reputation.ip_listed": ("dns",), "header.received_ip_listed": ("dns",), "reputation.domain_age": ("registrations",), "attachment.virustotal": ("hashes",), "link.login_form": ("logins",), "semantic.llm_phishing": ("opinions",), "semantic.llm_suspicious": ("opinions",), "semantic.llm_clean": ("opinions",)}
 _NEEDS |= {i: ("brands",) for i in _NEEDS_BRANDS}
-_RAW = {"header.bulk_mailer_personal", "header.messageid_mismatch", "link.tracking_pixel", "content.hidden_text", "attachment.html_active", "attachment.pdf_active"}
+_RAW = {"attachment.archive_executable", "attachment.archive_encrypted", "attachment.macro", "attachment.rtl_override", "link.cloud_form", "content.image_only", "header.bulk_mailer_personal", "header.messageid_mismatch", "link.tracking_pixel", "content.hidden_text", "attachment.html_active", "attachment.pdf_active"}
 
 
 def detected(spark: SparkSession, sf: str, *ids: str) -> DataFrame:
@@ -246,7 +252,7 @@ for _id in C.emission_order():
 
 
 @R.query("parse_messages", f"""WITH {V.MADE_SQL} SELECT CAST(summary_id AS VARCHAR) AS msg_id, lower(mail_from) AS addr, coalesce(trim(subject), '') AS subject, coalesce(spf, 'none') AS spf, coalesce(dkim, 'none') AS dkim, coalesce(dmarc, 'none') AS dmarc,
-CAST(len(list_distinct(list_concat(list_transform(coalesce(links, []), lambda l: l.href), list_filter(list_transform(coalesce(links, []), lambda l: l.anchor), lambda a: starts_with(a, 'http'))))) AS INTEGER) AS n_links, CAST((summary_id % 7 = 0) AS INTEGER) AS n_files, false AS failed FROM made""")
+CAST(len(list_distinct(list_concat(list_transform(coalesce(links, []), lambda l: l.href), list_filter(list_transform(coalesce(links, []), lambda l: l.anchor), lambda a: starts_with(a, 'http'))))) + CAST(summary_id % 14 = 0 AS INTEGER) AS INTEGER) AS n_links, CAST(list_sum(list_transform([7, 9, 10, 11, 13, 15], lambda n: CAST(summary_id % n = 0 AS INTEGER))) AS INTEGER) AS n_files, false AS failed FROM made""")
 def parse_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Raw messages made of the summaries, parsed back to the fields they were made of."""
     from mailquern.sources.mail import parse_mail

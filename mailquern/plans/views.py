@@ -9,9 +9,15 @@ its own, so every summary and every prompt is in one mail and none is left out.
 
 from __future__ import annotations
 
+import base64
+import io
+import struct
+import zipfile
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mailquern import model
+from mailquern import model, refdata
 from mailquern.functions import hosts as H
 from mailquern.functions.text import detect_language
 from mailquern.operators.score import signals_from_ids
@@ -116,26 +122,49 @@ def brands(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("name", "domains", F.array().cast("array<string>").alias("esp_domains"), F.array("name").alias("keywords"), F.lit("global").alias("locale"), F.array().cast("array<string>").alias("colors"), F.lit(None).cast("bigint").alias("logo_phash"), F.lit("").alias("org_id"), "load_order")
 
 
+def _zip(name: str, locked: bool = False) -> str:
+    """A small archive with one file, in base64; ``locked`` sets its flag of encryption."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo(name), b"x")
+    raw = bytearray(out.getvalue())
+    if locked:
+        raw[6] |= 1
+        raw[raw.index(b"PK\x01\x02") + 8] |= 1
+    return base64.b64encode(bytes(raw)).decode()
+
+
+def _png(side: int = 8) -> str:
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = zlib.compress((b"\0" + b"\x20\x80\xf0" * side) * side)
+    return base64.b64encode(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", side, side, 8, 2, 0, 0, 0)) + chunk(b"IDAT", rows) + chunk(b"IEND", b"")).decode()
+
+
 def made_messages(spark: SparkSession, sf: str) -> DataFrame:
     """(path, kind, content): a raw message of each summary, with marks in body and headers by the summary's key.
 
     Every 4th has a one-pixel image, every 5th a bulk mailer, every 6th hidden
-    text, every 7th an HTML attachment with a script, and of every 3rd the message
-    id is of another domain. Beside every 8th there is a PDF that opens an action.
+    text, every 7th an HTML attachment with a script, every 9th an archive with a
+    program, every 10th a locked one, every 11th macros, every 13th a name that
+    turns its direction, every 14th a form to log in, every 15th an image, and of
+    every 3rd the message id is of another domain. Beside every 8th there is a PDF that opens an action.
     """
     s = table(spark, sf, "message_summaries").where("summary_id IS NOT NULL AND mail_from IS NOT NULL").dropDuplicates(["summary_id"])
     k, nth = F.col("summary_id"), lambda n: F.col("summary_id") % n == 0
     coded = lambda c: F.regexp_replace(F.base64(F.encode(c, "utf-8")), r"\s", "")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     part = lambda head, body: F.concat(F.lit("--b0\r\n" + head + "Content-Transfer-Encoding: base64\r\n\r\n"), coded(body), F.lit("\r\n"))
+    file = lambda name, kind, content: F.lit(f'--b0\r\nContent-Type: {kind}\r\nContent-Disposition: attachment; filename="{name}"\r\nContent-Transfer-Encoding: base64\r\n\r\n{content}\r\n')
     link = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<struct<href:string,anchor:string,host:string>>")), lambda x: F.concat(F.lit('<a href="'), x["href"], F.lit('">'), F.coalesce(x["anchor"], F.lit("")), F.lit("</a>"))), " ")
-    html = F.concat(F.lit("<html><body><p>Hello</p>"), link, F.when(nth(4), '<img src="https://t.example/p.gif" width="1" height="1">').otherwise(""), F.when(nth(6), '<span style="display:none">hidden words</span>').otherwise(""), F.lit("</body></html>"))
+    html = F.concat(F.lit("<html><body><p>Hello</p>"), link, F.when(nth(4), '<img src="https://t.example/p.gif" width="1" height="1">').otherwise(""), F.when(nth(6), '<span style="display:none">hidden words</span>').otherwise(""), F.when(nth(14), f'<a href="https://{refdata.FORM_HOSTS[0]}/f1">{refdata.LOGIN_WORDS[0]}</a>').otherwise(""), F.lit("</body></html>"))
     auth = F.concat(F.lit("mx.example; spf="), F.coalesce("spf", F.lit("none")), F.lit("; dkim="), F.coalesce("dkim", F.lit("none")), F.lit("; dmarc="), F.coalesce("dmarc", F.lit("none")))
     text = F.concat(
         line("From", F.col("mail_from")), line("To", F.lit("desk@org.example")), line("Subject", F.concat(F.lit("=?utf-8?B?"), coded(F.coalesce("subject", F.lit(""))), F.lit("?="))),
         line("Message-ID", F.concat(F.lit("<m"), k.cast("string"), F.lit("@"), F.when(nth(3), "relay.elsewhere.test").otherwise(F.coalesce(H.domain_of("mail_from"), F.lit("x"))), F.lit(">"))), F.when(nth(5), "X-Mailer: Mailchimp Mailer\r\n").otherwise(""),
         line("Authentication-Results", auth), F.lit('MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="b0"\r\n\r\n'), part("Content-Type: text/html; charset=utf-8\r\n", html),
         F.when(nth(7), part('Content-Type: text/html; name="page.html"\r\nContent-Disposition: attachment; filename="page.html"\r\n', F.lit("<html><script>go()</script></html>"))).otherwise(""),
+        *(F.when(nth(n), file(name, kind, content)).otherwise("") for n, name, kind, content in ((9, "a.zip", "application/zip", _zip("run.exe")), (10, "b.zip", "application/zip", _zip("plan.txt", True)), (11, "c.docm", "application/octet-stream", _zip("word/vbaProject.bin")), (13, "=?utf-8?B?" + base64.b64encode("bill\u202efdp.exe".encode()).decode() + "?=", "application/octet-stream", "eA=="))),
+        F.when(nth(15), F.lit(f"--b0\r\nContent-Type: image/png\r\nContent-Disposition: inline\r\nContent-Transfer-Encoding: base64\r\n\r\n{_png()}\r\n")).otherwise(""),
         F.lit("--b0--\r\n"),
     )
     mails = s.select(k.cast("string").alias("path"), F.lit("eml").alias("kind"), F.encode(text, "utf-8").alias("content"))

@@ -205,7 +205,7 @@ def read_pdf(data: bytes) -> tuple[str, list[str], dict]:
             streams.append(zlib.decompressobj().decompress(m.group(1), 1 << 20))
         except zlib.error:
             pass
-    raw = b"\n".join([data, *streams[:200]])
+    raw = b"\n".join([data, *streams])
     text = "\n".join(t.decode("latin-1").replace("\\(", "(").replace("\\)", ")") for t in _PDF_TEXT.findall(raw)[:400])
     urls = list(dict.fromkeys(u.decode("latin-1") for u in re.findall(rb"https?://[^\s<>()\"']+", raw)))
     low = raw.lower()
