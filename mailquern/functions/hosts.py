@@ -149,3 +149,25 @@ def dmarc_tags(record: Column) -> Column:
     entries = F.transform(pairs, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^=]*=", "")).alias("v")))
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), 1)["v"]))
+
+
+def _shown(host: str | None) -> str | None:
+    out = []
+    for label in (host or "").split("."):
+        try:
+            out.append(label[4:].encode("ascii").decode("punycode") if label.lower().startswith("xn--") else label)
+        except UnicodeError:
+            return None
+    return ".".join(out) if host is not None else None
+
+
+def unicode_host(host: Column | str) -> Column:
+    """A host with its punycode labels as the letters they stand for; null where one can't be decoded."""
+    import pandas as pd
+    from pyspark.sql.types import StringType
+
+    def run(hosts: pd.Series) -> pd.Series:
+        return hosts.map(_shown)
+
+    run.__annotations__ = {"hosts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, StringType())(host)

@@ -110,3 +110,27 @@ def normalise_homoglyphs(c: Column) -> Column:
 def mixed_script(c: Column) -> Column:
     """Latin letters beside Cyrillic or other ones."""
     return F.coalesce(c.rlike(r"\p{IsLatin}") & c.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), F.lit(False))
+
+
+def duration_seconds(text: Column) -> Column:
+    """Seconds of a duration such as ``1h30m``, ``250ms`` or ``7d``; empty and ``0`` are 0, what is none of these is null."""
+    t = F.trim(text)
+    units = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "ns": 1e-9}
+    named = F.create_map(*(F.lit(x) for kv in units.items() for x in kv))
+    parts = F.regexp_extract_all(t, F.lit(r"((?:\d+\.?\d*|\.\d+)(?:ms|us|µs|ns|h|m|s))"), F.lit(1))
+    value = F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.regexp_extract(p, r"^([\d.]+)", 1).cast("double") * F.element_at(named, F.regexp_extract(p, r"([a-zµ]+)$", 1)))
+    sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
+    return F.when(t.isin("", "0"), 0.0).when(t.rlike(r"^[+-]?\d+d$"), F.regexp_extract(t, r"^([+-]?\d+)d$", 1).cast("double") * 86400).when(t.rlike(r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:ms|us|µs|ns|h|m|s))+$"), sign * value)
+
+
+def language_tag(tag: Column, default: str = "ru") -> Column:
+    """A language tag as one of ru, en and kz; kk is kz, others are the default."""
+    main = F.regexp_extract(F.lower(F.trim(tag)), r"^([^-_]+)", 1)
+    return F.when(main.isin("ru", "en", "kz"), main).when(main == "kk", "kz").otherwise(default)
+
+
+def message(catalog: dict[str, dict[str, str]], language: Column, key: Column, default: str = "ru") -> Column:
+    """The text of a key in a language's catalogue, else in the default one's, else in the English one's, else the key."""
+    table = lambda lang: F.create_map(*(F.lit(x) for kv in (catalog.get(lang) or {"": ""}).items() for x in kv))
+    own = F.coalesce(*(F.when(language_tag(language, default) == lang, F.try_element_at(table(lang), key)) for lang in catalog)) if catalog else F.lit(None).cast("string")
+    return F.coalesce(own, F.try_element_at(table(default), key), F.try_element_at(table("en"), key), key)

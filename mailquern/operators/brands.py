@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mailquern import refdata
 from mailquern.functions.hosts import registrable_domain
@@ -32,6 +32,18 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(r["name"], low(r.get("domains")), low(r.get("esp_domains")), low(r.get("keywords")), r.get("locale", "global"), r.get("colors") or [], hash_of(r.get("logo_phash")), r.get("org_id", ""), i) for i, r in enumerate(rows)], SCHEMA)
 
 
+def with_custom(brands: DataFrame, custom: DataFrame) -> DataFrame:
+    """Brands with an organisation's own added; one of the same organisation and name takes the other's place, and comes after all loaded ones."""
+    last = brands.agg(F.coalesce(F.max("load_order"), F.lit(-1)).alias("__last"))
+    new = custom.withColumn("__n", F.row_number().over(Window.partitionBy("org_id").orderBy("name"))).join(F.broadcast(last)).withColumn("load_order", F.col("__last") + F.col("__n")).select(*brands.columns)
+    return brands.join(new.select("org_id", "name"), ["org_id", "name"], "left_anti").select(*brands.columns).unionByName(new)
+
+
+def brands_of(brands: DataFrame, org_id: str = "") -> DataFrame:
+    """The brands that hold for an organisation: those of all and its own."""
+    return brands.where((F.coalesce("org_id", F.lit("")) == "") | (F.col("org_id") == org_id))
+
+
 def osa_distance(a: str, b: str) -> int:
     """Edits, each of one character, or a swap of two neighbours that are not edited again."""
     before, last, row = None, None, list(range(len(b) + 1))

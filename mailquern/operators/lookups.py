@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailquern.functions.hosts import canonical_host, distinct_hosts, registrable_domain, url_host
+from mailquern.functions.hosts import canonical_host, distinct_hosts, registrable_domain, unicode_host, url_host
 from mailquern.model import OPINION
 
 
@@ -64,8 +64,32 @@ def registration_dates(responses: DataFrame) -> DataFrame:
     return responses.select("domain", F.try_to_timestamp(first["eventDate"]).alias("registered_at")).where("registered_at IS NOT NULL")
 
 
+def urlhaus_listed(body: Column) -> Column:
+    """Whether an answer lists its host; null where the answer is none or says neither."""
+    r = F.from_json(body, "query_status string, urls array<string>")
+    return F.when(r["query_status"] == "no_results", False).when(r["query_status"] == "ok", F.coalesce(F.size(r["urls"]), F.lit(0)) > 0)
+
+
+def safebrowsing_listed(body: Column) -> Column:
+    """Whether an answer has matches; null where it is no JSON object."""
+    return F.when(F.try_parse_json(body).isNotNull() & F.trim(body).startswith("{"), F.coalesce(F.json_array_length(F.get_json_object(body, "$.matches")), F.lit(0)) > 0)
+
+
+def virustotal_listed(body: Column, http_status: Column | None = None) -> Column:
+    """Whether a file's last analysis found it malicious or suspicious; an unknown file (404) isn't listed, other failures say nothing."""
+    stats = F.from_json(body, "data struct<attributes struct<last_analysis_stats struct<malicious:int,suspicious:int>>>".replace(" struct", ":struct").replace("data:", "data "))["data"]["attributes"]["last_analysis_stats"]
+    told = F.when(F.try_parse_json(body).isNotNull(), (F.coalesce(stats["malicious"], F.lit(0)) > 0) | (F.coalesce(stats["suspicious"], F.lit(0)) > 0))
+    return told if http_status is None else F.when(http_status == 404, False).when(F.floor(http_status / 100) == 2, told)
+
+
+def unicode_senders(mail: DataFrame) -> DataFrame:
+    """(msg_id, from_unicode): senders' domains in punycode as they are shown. Distinct hosts are decoded once."""
+    own = mail.select("msg_id", F.col("from.domain").alias("host")).where(F.contains("host", F.lit("xn--")))
+    return own.join(own.select("host").distinct().withColumn("from_unicode", unicode_host("host")), "host").select("msg_id", "from_unicode")
+
+
 def with_lookups(mail: DataFrame, **tables: DataFrame) -> DataFrame:
-    """``mail`` with the lookup columns of the tables given: lists, feeds, dns, registrations, hashes, logins, opinions, brands.
+    """``mail`` with the lookup columns of the tables given: lists, feeds, dns, registrations, hashes, logins, opinions, brands; with ``senders`` punycode is decoded.
 
     Each lookup is made of the few columns it needs and joined to the message
     ids alone; the records themselves, with their bodies, meet the result in one
@@ -92,6 +116,8 @@ def with_lookups(mail: DataFrame, **tables: DataFrame) -> DataFrame:
         found.append(own.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "href"))), lambda x: x["href"]).alias("login_forms")))
     if "opinions" in tables:
         found.append(tables["opinions"].select("msg_id", F.col("llm").cast(OPINION).alias("llm")))
+    if "senders" in tables:
+        found.append(unicode_senders(mail))
     if "brands" in tables:
         from mailquern.operators.brands import shown_brands
 

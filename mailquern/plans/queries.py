@@ -211,12 +211,12 @@ def _lookup(spark: SparkSession, sf: str, name: str, mail: DataFrame) -> DataFra
         told = table(spark, sf, "notify_events").where("submission_id IS NOT NULL AND verdict IN ('phishing', 'suspicious', 'clean')").groupBy("submission_id").agg(F.min_by(F.struct("verdict", "attack_type"), "event_no").alias("o"))
         llm = F.struct(F.col("o.verdict").alias("verdict_opinion"), F.col("o.attack_type").alias("attack_type"), F.lit(None).cast("string").alias("recommended_action"), F.lit(1).alias("highlights"))
         return mail.select("msg_id", "submission_id").join(told, "submission_id").select("msg_id", llm.alias("llm"))
-    return V.brands(spark, sf)
+    return V.brands(spark, sf) if name == "brands" else mail  # of "senders" the mails are all there is
 
 
 #: The lookups that checks need, and the ones that need a raw message.
 _NEEDS = {"reputation.org_blocklist": ("lists",), "reputation.org_allowlist": ("lists",), "reputation.domain_listed": ("feeds",), "reputation.ip_listed": ("dns",), "header.received_ip_listed": ("dns",), "reputation.domain_age": ("registrations",), "attachment.virustotal": ("hashes",), "link.login_form": ("logins",), "semantic.llm_phishing": ("opinions",), "semantic.llm_suspicious": ("opinions",), "semantic.llm_clean": ("opinions",)}
-_NEEDS |= {i: ("brands",) for i in _NEEDS_BRANDS}
+_NEEDS |= {i: ("brands",) for i in _NEEDS_BRANDS} | {"domain.mixed_script": ("senders",)}
 _RAW = {"attachment.archive_executable", "attachment.archive_encrypted", "attachment.macro", "attachment.rtl_override", "link.cloud_form", "content.image_only", "header.bulk_mailer_personal", "header.messageid_mismatch", "link.tracking_pixel", "content.hidden_text", "attachment.html_active", "attachment.pdf_active"}
 
 
