@@ -30,8 +30,9 @@ def pair_association(
       empty arrays are no records. An empty table gives no rows.
     * Only the two named columns are read, so other columns can't clash.
 
-    An item of a pair that comes out is itself in that many records. Marginals
-    are therefore counted first, and pairs are emitted of such items only: the
+    With ``min_share`` 0 every pair of every record is counted. Else an item of
+    a pair that comes out is itself in that many records: marginals
+    are counted first, and pairs are emitted of such items only: the
     set of items is no larger than the mean basket divided by the share (a
     bound by counting), so it travels as one array value in each task, and a
     record emits at most the pairs within that set however long it is. All
@@ -41,16 +42,17 @@ def pair_association(
     src = df.select(F.col(items).alias("items"), *([F.col(key).alias("k")] if key else []))
     if key:
         own = F.when(F.col("k").isNull(), F.monotonically_increasing_id())
-        src = src.select("items", "k", own.alias("n")).groupBy("k", "n").agg(F.flatten(F.collect_list("items")).alias("items"))
+        src = src.select("items", "k", own.alias("n")).groupBy("k", "n").agg(F.flatten(F.collect_set("items")).alias("items"))
     baskets = src.select(basket(F.col("items")).alias("b")).where(F.size("b") > 0)
 
     total = baskets.agg(F.count("*").alias("n"))
     floor = F.greatest(F.lit(min_count).cast("double"), F.col("n") * F.lit(min_share))
     single = baskets.select(F.explode("b").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
     frequent = single.join(F.broadcast(total.select(floor.alias("floor"), "n"))).where(F.col("c") >= F.col("floor"))
-    kept = frequent.agg(F.collect_list("item").alias("kept"))  # one row
-
-    cut = baskets.join(F.broadcast(kept)).select(F.array_sort(F.array_intersect("b", "kept")).alias("b")).where(F.size("b") > 1)
+    if min_share > 0:
+        kept = frequent.agg(F.collect_list("item").alias("kept"))  # one row
+        baskets = baskets.join(F.broadcast(kept)).select(F.array_sort(F.array_intersect("b", "kept")).alias("b"))
+    cut = baskets.where(F.size("b") > 1)
     pairs = F.flatten(
         F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.struct(x.alias("item_a"), y.alias("item_b"))))
     )

@@ -72,9 +72,9 @@ def _parts(text: str, sizes: Sizes, most: int, start: int = 0, end: int | None =
                 break
         else:
             at = sizes.before(np.arange(a, b + 1))
-            own, k = [], a
-            while at[-1] - at[k - a] > most:
-                k = max(k + 1, a + int(np.searchsorted(at, at[k - a] + most, side="right")) - 1)
+            own, k, step = [], a, max(1, most // 32)  # small parts, so that pieces of unbroken text fill up
+            while at[-1] - at[k - a] > step:
+                k = max(k + 1, a + int(np.searchsorted(at, at[k - a] + step, side="right")) - 1)
                 own.append(k)
         edges = [a, *map(int, own), b]
         stack += [(x, y, level) for x, y in reversed(list(zip(edges, edges[1:])))]

@@ -77,28 +77,30 @@ p AS (SELECT x.source_table, x.s AS signal_a, y.s AS signal_b, count(*) AS n_bot
 SELECT p.source_table, p.signal_a, p.signal_b{extra} FROM p JOIN totals t USING (source_table)
 JOIN c a ON a.source_table = p.source_table AND a.s = p.signal_a
 JOIN c b ON b.source_table = p.source_table AND b.s = p.signal_b
-WHERE n_both >= 10 AND n_both >= 0.004 * n AND n_both * n / (a.c * b.c) >= 3
+{where}
 """
+_P2_LEAST = "WHERE n_both >= 10 AND n_both >= 0.004 * n AND n_both * n / (a.c * b.c) >= 3"
 
 
-def _signal_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _signal_pairs(spark: SparkSession, sf: str, **least: float) -> DataFrame:
     from .cooccur import pair_association
 
     out = None
     for name, key in (("notify_events", "event_no"), ("awareness_cards", "card_id")):
-        one = pair_association(table(spark, sf, name), "signals", key=key).select(F.lit(name).alias("source_table"), F.col("item_a").alias("signal_a"), F.col("item_b").alias("signal_b"), "n_both", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+        one = pair_association(table(spark, sf, name), "signals", key=key, **least).select(F.lit(name).alias("source_table"), F.col("item_a").alias("signal_a"), F.col("item_b").alias("signal_b"), "n_both", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@R.query("p2_found", _P2_SQL.replace("{extra}", ""))
+@R.query("p2_found", _P2_SQL.replace("{extra}", "").replace("{where}", _P2_LEAST))
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _signal_pairs(spark, sf).select("source_table", "signal_a", "signal_b")
 
 
-@R.query("p2_association", _P2_SQL.replace("{extra}", ", n_both, round(n_both * n / (a.c * b.c), 6) AS lift, round(log2(n_both * n / (a.c * b.c)), 6) AS pmi"))
+@R.query("p2_association", _P2_SQL.replace("{extra}", ", n_both, round(n_both * n / (a.c * b.c), 6) AS lift, round(log2(n_both * n / (a.c * b.c)), 6) AS pmi").replace("{where}", ""))
 def p2_association(spark: SparkSession, sf: str) -> DataFrame:
-    return _signal_pairs(spark, sf)
+    """Every two signals that any record holds, with their count and how far it exceeds chance."""
+    return _signal_pairs(spark, sf, min_count=1, min_share=0.0, min_lift=0.0)
 
 
 # -- 3: most frequent items -------------------------------------------------------------------------------------------
