@@ -61,8 +61,10 @@ def last_lines(c: Column, n: int = 6) -> Column:
 
 def detect_language(c: Column) -> Column:
     """kz, ru, en or empty, by letters of the Kazakh, Cyrillic and Latin alphabets."""
-    count = lambda cls: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{cls}]", ""))
-    kz, cyr, lat = count("әіңғүұқөһӘІҢҒҮҰҚӨҺ"), count(r"\p{IsCyrillic}"), count(r"\p{IsLatin}")
+    only = lambda text, cls: F.regexp_replace(text, f"[^{cls}]+", "")  # noqa: E731 - whole runs go at once
+    text = F.coalesce(c, F.lit(""))
+    cyrillic = only(text, r"\p{IsCyrillic}")
+    kz, cyr, lat = F.length(only(cyrillic, "әіңғүұқөһӘІҢҒҮҰҚӨҺ")), F.length(cyrillic), F.length(only(text, r"\p{IsLatin}"))
     return F.when((kz > 0) & (kz * 40 >= cyr), "kz").when((cyr > 0) & (cyr >= lat), "ru").when(lat > 0, "en").otherwise("")
 
 
