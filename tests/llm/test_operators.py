@@ -227,6 +227,29 @@ def test_a_reading_that_no_encoding_explains(spark):
     assert [got[1000 + i].restored for i in range(6)] == clean[:6] and got[1000].undone[0].startswith("learned")
 
 
+@pytest.mark.parametrize("block", [garbled.BLOCK, 3])
+def test_every_garbled_sentence_of_a_key_is_aligned(spark, monkeypatch, block):
+    monkeypatch.setattr(garbled, "BLOCK", block)
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    made = [str.maketrans(letters, "".join(chr(0x2800 + 32 * k + (i * 7) % 32) for i in range(32))) for k in range(20)]
+    words = "сумма письма не совпадает с тем что показывает сервис печати отправитель просит прислать код банка до конца недели ответит руководитель филиала города".split()
+    rng = random.Random(5)
+    clean = [" ".join(rng.choices(words, k=9)) + f" {i}" for i in range(900)]
+    d = spark.createDataFrame([*enumerate(clean), *((1000 + 20 * i + k, x.translate(m)) for i, x in enumerate(clean[:6]) for k, m in enumerate(made))], "id long, t string")
+    got = {r.id: r.restored for r in garbled.find_garbled(d, ["id"], "t").collect()}
+    assert got == {1000 + 20 * i + k: x for i, x in enumerate(clean[:6]) for k in range(20)}
+
+
+def test_every_clean_sentence_of_a_key_is_a_partner(spark):
+    rng = random.Random(7)
+    told = [["".join(rng.sample(x, 4)) for _ in range(4)] for x in ("абвг", "дежз", "ийкл", "мноп", "рсту", "фхцч", "шщъы", "ьэюя")]
+    often, seldom = ([" ".join(rng.choice(told[(j + i) % 8][i : i + 2]) for j in range(8)) + f" {n}" for n in range(300)] for i in (0, 2))
+    assert [garbled.twin_keys(x)[0] for x in often] == [garbled.twin_keys(x)[0] for x in seldom]
+    d = spark.createDataFrame([*enumerate([*often * 3, *seldom]), *((2000 + i, x.encode("koi8-r").decode("cp1251")) for i, x in enumerate(seldom[:6]))], "id long, t string")
+    got = {r.id: r.restored for r in garbled.find_garbled(d, ["id"], "t").collect()}
+    assert got == {2000 + i: x for i, x in enumerate(seldom[:6])}
+
+
 @pytest.mark.parametrize("text", ["сумма письма", "naïve café", "x"])
 def test_twin_keys(text):
     own, read = garbled.twin_keys(text)
